@@ -7,9 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from granum.llm import sql
 from granum.llm.common import read
 from granum.llm.piece_codec import decode, encode
+from granum.llm.quality_rules import judge_quality
+from granum.llm.shuffle_shards import shard_rows
 from granum.llm.token_counts import token_counts
+from granum.llm.url_filter import judge_urls
 
 
 def tokenizer_file(name: str) -> str:
@@ -22,6 +26,21 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
+URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(read(spark, sf_dir, "pages"), spark.createDataFrame(URL_RULES, "verdict string, rule string"))
+
+
+def op5_shuffle_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_rows(read(spark, sf_dir, "documents"))
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_quality(read(spark, sf_dir, "documents"), carry=["doc_id"]).select("doc_id", "m.n_words", "m.word_chars", "m.n_symbols", "m.n_dup_lines", "m.n_repeat_words", "base_failed", "kept")
+
+
 def op10_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_file("piece_bpe_32k.model")
     coded = encode(read(spark, sf_dir, "documents"), path)
@@ -30,7 +49,10 @@ def op10_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_counts": op3_token_counts,
+    "op4_url_filter": op4_url_filter,
+    "op5_shuffle_shards": op5_shuffle_shards,
+    "op6_quality_rules": op6_quality_rules,
     "op10_piece_codec": op10_piece_codec,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op4_url_filter": sql.URL_FILTER, "op6_quality_rules": sql.QUALITY_RULES}
