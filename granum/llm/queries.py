@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from granum.llm import sql
 from granum.llm.common import read
+from granum.llm.minhash_dedup import near_duplicates
 from granum.llm.piece_codec import decode, encode
 from granum.llm.quality_rules import judge_quality
 from granum.llm.shuffle_shards import shard_rows
@@ -41,6 +42,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_quality(read(spark, sf_dir, "documents"), carry=["doc_id"]).select("doc_id", "m.n_words", "m.word_chars", "m.n_symbols", "m.n_dup_lines", "m.n_repeat_words", "base_failed", "kept")
 
 
+def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read(spark, sf_dir, "documents"), width=2)
+
+
 def op10_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_file("piece_bpe_32k.model")
     coded = encode(read(spark, sf_dir, "documents"), path)
@@ -52,7 +57,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_url_filter": op4_url_filter,
     "op5_shuffle_shards": op5_shuffle_shards,
     "op6_quality_rules": op6_quality_rules,
+    "op8_minhash_dedup": op8_minhash_dedup,
     "op10_piece_codec": op10_piece_codec,
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_url_filter": sql.URL_FILTER, "op6_quality_rules": sql.QUALITY_RULES}
+ORACLE_SQL: dict[str, str] = {"op4_url_filter": sql.URL_FILTER, "op6_quality_rules": sql.QUALITY_RULES, "op8_minhash_dedup": sql.NEAR_DUPLICATES}
