@@ -11,6 +11,7 @@ from granum.llm import sql
 from granum.llm.common import read
 from granum.llm.minhash_dedup import near_duplicates
 from granum.llm.piece_codec import decode, encode
+from granum.llm.pivot_dedup import near_vectors
 from granum.llm.quality_rules import judge_quality
 from granum.llm.shuffle_shards import shard_rows
 from granum.llm.token_counts import token_counts
@@ -23,6 +24,10 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_pivot_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(read(spark, sf_dir, "embeddings"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
@@ -53,6 +58,7 @@ def op10_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pivot_dedup": op1_pivot_dedup,
     "op3_token_counts": op3_token_counts,
     "op4_url_filter": op4_url_filter,
     "op5_shuffle_shards": op5_shuffle_shards,
@@ -61,4 +67,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_piece_codec": op10_piece_codec,
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_url_filter": sql.URL_FILTER, "op6_quality_rules": sql.QUALITY_RULES, "op8_minhash_dedup": sql.NEAR_DUPLICATES}
+ORACLE_SQL: dict[str, str] = {"op1_pivot_dedup": sql.NEAR_VECTORS, "op4_url_filter": sql.URL_FILTER, "op6_quality_rules": sql.QUALITY_RULES, "op8_minhash_dedup": sql.NEAR_DUPLICATES}

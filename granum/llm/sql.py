@@ -75,3 +75,21 @@ WITH RECURSIVE t AS (
 SELECT t.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(t.doc_id, coalesce(c, t.doc_id)) AS component_id, t.doc_id = least(t.doc_id, coalesce(c, t.doc_id)) AS kept
 FROM t LEFT JOIN n USING (doc_id) LEFT JOIN comp USING (doc_id)
 """
+
+NEAR_VECTORS = r"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE label IS NOT NULL AND list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) > 0
+), u AS (
+  SELECT vec_id, label, e, sqrt(list_dot_product(e, e)) AS norm FROM v
+), link AS (
+  SELECT x.vec_id AS a, y.vec_id AS b FROM u x JOIN u y ON x.label = y.label AND x.vec_id <> y.vec_id WHERE list_dot_product(x.e, y.e) / (x.norm * y.norm) >= 0.98
+), reach(a, b) AS (
+  SELECT a, b FROM link UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a
+), comp AS (
+  SELECT a, min(b) AS c FROM reach GROUP BY a
+), n AS (
+  SELECT a, count(*) AS n FROM link GROUP BY a
+)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, least(vec_id, coalesce(c, vec_id)) AS component_id, vec_id = least(vec_id, coalesce(c, vec_id)) AS kept
+FROM embeddings LEFT JOIN n ON n.a = vec_id LEFT JOIN comp ON comp.a = vec_id
+"""
