@@ -16,6 +16,7 @@ from granum.llm.quality_rules import judge_quality
 from granum.llm.shuffle_shards import shard_rows
 from granum.llm.token_counts import token_counts
 from granum.llm.url_filter import judge_urls
+from granum.llm.wrapper_induction import main_text
 
 
 def tokenizer_file(name: str) -> str:
@@ -51,6 +52,10 @@ def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"), width=2)
 
 
+def op9_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(read(spark, sf_dir, "pages"))
+
+
 def op10_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_file("piece_bpe_32k.model")
     coded = encode(read(spark, sf_dir, "documents"), path)
@@ -64,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_shuffle_shards": op5_shuffle_shards,
     "op6_quality_rules": op6_quality_rules,
     "op8_minhash_dedup": op8_minhash_dedup,
+    "op9_wrapper_induction": op9_wrapper_induction,
     "op10_piece_codec": op10_piece_codec,
 }
 
