@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 
@@ -129,3 +130,13 @@ def forest(n: int, linked: Callable[[int, np.ndarray], np.ndarray]) -> list[tupl
             if (label == label[0]).all():
                 break
     return edges
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df as a Parquet table in a folder of its own under the session's checkpoint folder, read again."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="granum-checkpoint-"))
+    path = f"{sc.getCheckpointDir()}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

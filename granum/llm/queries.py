@@ -14,6 +14,8 @@ from granum.llm.piece_codec import decode, encode
 from granum.llm.pivot_dedup import near_vectors
 from granum.llm.quality_rules import judge_quality
 from granum.llm.shuffle_shards import shard_rows
+from granum.llm.site_quality import judge_sites
+from granum.llm.soft_mixing import mix_softly
 from granum.llm.token_counts import token_counts
 from granum.llm.url_filter import judge_urls
 from granum.llm.wrapper_induction import main_text
@@ -29,6 +31,10 @@ def op1_pivot_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(read(spark, sf_dir, "embeddings"))
 
 
+def op2_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_sites(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), carry=["doc_id"])
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
@@ -48,6 +54,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_quality(read(spark, sf_dir, "documents"), carry=["doc_id"]).select("doc_id", "m.n_words", "m.word_chars", "m.n_symbols", "m.n_dup_lines", "m.n_repeat_words", "base_failed", "kept")
 
 
+def op7_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_softly(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), carry=["doc_id"])
+
+
 def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"), width=2)
 
@@ -64,10 +74,12 @@ def op10_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pivot_dedup": op1_pivot_dedup,
+    "op2_site_quality": op2_site_quality,
     "op3_token_counts": op3_token_counts,
     "op4_url_filter": op4_url_filter,
     "op5_shuffle_shards": op5_shuffle_shards,
     "op6_quality_rules": op6_quality_rules,
+    "op7_soft_mixing": op7_soft_mixing,
     "op8_minhash_dedup": op8_minhash_dedup,
     "op9_wrapper_induction": op9_wrapper_induction,
     "op10_piece_codec": op10_piece_codec,
