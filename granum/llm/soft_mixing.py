@@ -21,6 +21,8 @@ TARGETS = {"clean": 0.9, "toxic": 0.02, "low": 0.08}
 FEATURES = [*STYLE, "hit", "hit_rate"]
 SAMPLE_LABELS = 10_000
 PENALTY = 0.005
+#: A domain's target is lowered to so many times its present share, as no document may be repeated without end.
+MOST_REPEATS = 4.0
 
 
 def rate_after(steps: list[list[float]], size: float, domains: list[str]) -> Column:
@@ -34,7 +36,21 @@ def rate_after(steps: list[list[float]], size: float, domains: list[str]) -> Col
     return r
 
 
-def fit_rates(known: DataFrame, targets: dict[str, float], rounds: int = 30, close: float = 2e-3) -> tuple[Column, list[float]]:
+def reachable(share: np.ndarray, mass: np.ndarray, most_repeats: float) -> np.ndarray:
+    """Target shares of which none asks for more than most_repeats times what is there; the excess goes to the others in proportion."""
+    held = np.zeros(len(share), bool)
+    out = share.copy()
+    for _ in share:
+        over = ~held & (out > most_repeats * mass)
+        if not over.any() or (held | over).all():
+            break
+        held |= over
+        out = np.where(held, np.minimum(share, most_repeats * mass), share)
+        out[~held] *= (1 - out[held].sum()) / out[~held].sum()
+    return out / out.sum()
+
+
+def fit_rates(known: DataFrame, targets: dict[str, float], most_repeats: float = MOST_REPEATS, rounds: int = 30, close: float = 2e-3) -> tuple[Column, list[float]]:
     """The rate as an expression over p_<domain>, and the last relative misses by domain. `known` has n_tokens and p_<domain>.
 
     The squared misses are weighted by target^2 / present share, which makes the problem well conditioned: with hard
@@ -49,6 +65,7 @@ def fit_rates(known: DataFrame, targets: dict[str, float], rounds: int = 30, clo
     w = F.col("n_tokens") / total
     moments = known.agg(*[F.sum(w * a) for a in p], *[F.sum(w * a * b) for a in p for b in p]).first()
     mass = np.maximum(np.array(moments[: len(p)], float), 1e-9)
+    share = reachable(share, mass, most_repeats)
     second = np.array(moments[len(p) :], float).reshape(len(p), -1) / np.sqrt(np.outer(mass, mass))
     size = 1 / (np.linalg.eigvalsh(second).max() + PENALTY)
     steps: list[list[float]] = []
@@ -68,7 +85,8 @@ def mix_softly(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | N
 
     `copies` is rate rounded up or down by a draw that id and seed fix, with the rate as its mean. Domains are those
     of DOMAINS over `labels` (doc_id, quality, toxic); null labels are ignored. A domain with no labelled document
-    has probability 0, and its target goes to the others in proportion. Classifiers are fitted on at most `sample`
+    has probability 0, and its target goes to the others in proportion, as does what is
+    beyond MOST_REPEATS times a domain's present share. Classifiers are fitted on at most `sample`
     labelled rows; totals are over all documents. A null or empty text has no words and takes part without weight.
     Repeated rows get equal rates and copies, an empty table gives an empty result; carried columns must not bear
     the names of the new ones.
