@@ -201,5 +201,5 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     links = components(sorted_groups(work, ["component", "bi", "bj"], _verified_edges(percent), "a bigint, b bigint"))
 
     out = feats.select("id", "n_shingles", "set_key").join(classes, "set_key", "left").join(links.withColumnRenamed("node", "rep"), "rep", "left")
-    component = F.coalesce("component", "rep", "id")
+    component = F.when(F.col("id").isNotNull(), F.coalesce("component", "rep", "id"))
     return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
