@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from granum.llm.common import saved
+from granum.llm.common import saved, ship
 from granum.llm.evidence import STYLE, fit_logistic, labelled_sample, log_odds, style
 
 SAMPLE_LABELS = 20_000
@@ -43,6 +43,7 @@ def judge_sites(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
 
     Hosts and paths are summed before the shuffle, so one of them may hold any share of the rows.
     """
+    ship(docs.sparkSession)
     carry = docs.columns if carry is None else carry
     keys = [F.col(id_col).alias("_id"), F.col(host_col).alias("_host"), F.col(path_col).alias("_path")]
     known = saved(docs.select(*carry, *keys, style(F.col(text_col)).alias("_f")))

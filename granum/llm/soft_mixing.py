@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from granum.llm.common import saved
+from granum.llm.common import saved, ship
 from granum.llm.evidence import STYLE, fit_logistic, labelled_sample, log_odds, marking_words, style
 
 DOMAINS = {"clean": "quality = 1 and toxic = 0", "toxic": "toxic = 1", "low": "quality = 0"}
@@ -93,6 +93,7 @@ def mix_softly(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | N
 
     Shuffled: labelled texts' words, and one row of sums per task and step.
     """
+    ship(docs.sparkSession)
     targets = dict(targets or TARGETS)
     carry = docs.columns if carry is None else carry
     chosen = labelled_sample(labels.where("quality is not null and toxic is not null"), sample).select("doc_id", "quality", "toxic")
