@@ -7,13 +7,14 @@ byte pieces. Among segmentations the one of highest score sum is taken.
 
 from __future__ import annotations
 
+import re
 from array import array
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +24,8 @@ MARK = "▁"
 UNKNOWN_PENALTY = 10.0
 MOST_SEGMENTS = 400_000
 BATCHED = 64
+#: Letters, and numerals other than decimal digits, as a class of Python's re.
+LETTER = r"[^\W\d_]"
 
 
 class Pieces(NamedTuple):
@@ -112,13 +115,14 @@ class Codec(dict):
         self.byte_id = {int(p.text[i][3:5], 16): i for i, k in enumerate(p.kind) if k == "byte"}
         self.unknown_id = p.kind.index("unknown")
         pairs = {(a, b) for i in normal for a, b in zip(p.text[i], p.text[i][1:])}
-        after_letters = {b for a, b in pairs if a.isalpha()}
+        after_letters = {b for a, b in pairs if re.match(LETTER, a)}
         inside = {c for pair in pairs for c in pair}
         newline = "" if "\n" in inside else "\n"
-        stops = regex.escape("".join(c for c in ".,;:!?#*%&|$'-()\"" if c not in after_letters))
+        stops = re.escape("".join(c for c in ".,;:!?#*%&|$'-()\"" if c not in after_letters))
         body = f"{MARK}*[^{MARK}{newline}]+|{MARK}+" + ("|\n" if newline else "")
-        self.cut = regex.compile((f"{MARK}*\\p{{L}}+(?=[{stops}])|" if stops else "") + body)
+        self.cut = re.compile((f"{MARK}*{LETTER}+(?=[{stops}])|" if stops else "") + body)
         self.plain = [t.replace(MARK, " ").encode() if k == "normal" else bytes([int(t[3:5], 16)]) if k == "byte" else b" \xe2\x81\x87 " if k == "unknown" else b"" for t, k in zip(p.text, p.kind)]
+        self.plain_bytes = pa.array(self.plain, pa.binary())
         self.lengths = np.array([len(t.encode()) for t in p.text], np.int32)
         self.scores = np.array(p.score, np.float64)
         self.is_byte = np.array([k == "byte" for k in p.kind])
@@ -222,8 +226,15 @@ class Codec(dict):
         return [b"".join(map(self.__getitem__, x)) for x in cut]
 
     def decode(self, ids: list[int]) -> str:
-        data = b"".join(map(self.plain.__getitem__, ids))
-        return data.removeprefix(b" ").decode("utf-8", "replace")
+        return self.decode_many(pa.array([ids], pa.list_(pa.int32())))[0]
+
+    def decode_many(self, ids: pa.ListArray) -> list[str]:
+        """Per list of ids its text; "" for null."""
+        spans = np.asarray(ids.offsets)
+        flat = self.plain_bytes.take(ids.values.slice(spans[0], spans[-1] - spans[0]))
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(spans - spans[0], pa.int32()), flat), b"").to_pylist()
+        known = ids.is_valid().to_pylist()
+        return [data.removeprefix(b" ").decode("utf-8", "replace") if ok else "" for data, ok in zip(joined, known)]
 
 
 _codecs: dict[int, Codec] = {}
@@ -281,7 +292,7 @@ def decode(coded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
             codec = codec or worker_codec(shared)
             for start in range(0, batch.num_rows, 500):
                 part = batch.slice(start, 500)
-                texts = [codec.decode(x) if x else "" for x in part.column(at).to_pylist()]
+                texts = codec.decode_many(part.column(at))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*part.schema.names, "decoded"])
 
     schema = ", ".join(f"`{n}` {t}" for n, t in [*coded.dtypes, ("decoded", "string")])
