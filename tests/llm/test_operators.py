@@ -339,6 +339,29 @@ def codec_pieces(path, known={}):
     return known[path]
 
 
+def test_codec_scores_are_log_probabilities(spark):
+    import sentencepiece
+
+    path = queries.tokenizer_file("piece_bpe_32k.model")
+    lib, p = sentencepiece.SentencePieceProcessor(model_file=path), codec_pieces(path)
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    assert not p.logs  # a BPE file: its scores are merge ranks
+    score = np.array(piece_codec.fit_scores(docs.select("text"), p))
+    normal = np.array([k == "normal" for k in p.kind])
+    assert np.exp(score[normal]).sum() == pytest.approx(1)
+    assert score.tolist() == piece_codec.fit_scores(docs.select("text").repartition(5), p)
+    counts = np.zeros(len(normal))
+    for r in piece_codec.encode(docs, path).collect():
+        np.add.at(counts, r.ids, 1)
+    counts[~normal] = 0
+    again = (counts[normal] + piece_codec.UNSEEN) / (counts.sum() + piece_codec.UNSEEN * normal.sum())
+    assert np.abs(np.exp(score[normal]) - again).sum() < 0.05  # a fixed point of the counting
+    theirs = sum(len(lib.encode(r.text or "")) for r in docs.collect())
+    assert counts.sum() < 1.02 * theirs
+    words = spark.createDataFrame([(i, "the data of the house") for i in range(3)], "doc_id long, text string")
+    assert [p.text[i] for i in piece_codec.encode(words, path).first().ids] == ["▁the", "▁data", "▁of", "▁the", "▁house"]
+
+
 # the pipeline
 
 
