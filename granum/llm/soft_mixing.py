@@ -2,9 +2,9 @@
 
 Classifiers fitted on a labelled table give each document a probability for every domain, so a document belongs to
 several in part. Document rates, how often each is to be used, are the nonnegative least-squares fit of the domains'
-expected token totals to their targets, held near 1 by a small penalty. Projected gradient steps find it: a step needs
-one sum per domain over all documents, and a document's rate is a chain of the steps so far over its own
-probabilities, so no state is written between steps.
+expected token totals to their targets, held near 1 by a penalty that goes to zero. Gradient steps on one multiplier
+per domain find it, scaled by Newton's matrix: a step needs a few sums over all documents, and a document's rate is the
+projection to 0 or more of a sum over its own probabilities, so no state is written between steps.
 """
 
 from __future__ import annotations
@@ -20,20 +20,17 @@ DOMAINS = {"clean": "quality = 1 and toxic = 0", "toxic": "toxic = 1", "low": "q
 TARGETS = {"clean": 0.9, "toxic": 0.02, "low": 0.08}
 FEATURES = [*STYLE, "hit", "hit_rate"]
 SAMPLE_LABELS = 10_000
-PENALTY = 0.005
+PENALTY, LEAST_PENALTY = 5e-3, 5e-9
 #: A domain's target is lowered to so many times its present share, as no document may be repeated without end.
 MOST_REPEATS = 4.0
 
 
-def rate_after(steps: list[list[float]], size: float, domains: list[str]) -> Column:
-    """The rate that projected steps with these gradients lead to from 1: r <- max(0, r - size * (p . g + PENALTY * (r - 1)))."""
+def rate_at(pull: np.ndarray, domains: list[str]) -> Column:
+    """The rate nearest to 1 among those that the domains' multipliers allow: max(0, 1 + p . pull)."""
     r = F.lit(1.0)
-    for g in steps:
-        pull = F.lit(0.0)
-        for d, x in zip(domains, g):
-            pull = pull + F.col(f"p_{d}") * F.lit(size * x)
-        r = F.greatest(F.lit(0.0), r * (1 - size * PENALTY) + (size * PENALTY) - pull)
-    return r
+    for d, x in zip(domains, pull):
+        r = r + F.col(f"p_{d}") * F.lit(float(x))
+    return F.greatest(F.lit(0.0), r)
 
 
 def reachable(share: np.ndarray, mass: np.ndarray, most_repeats: float) -> np.ndarray:
@@ -50,43 +47,69 @@ def reachable(share: np.ndarray, mass: np.ndarray, most_repeats: float) -> np.nd
     return out / out.sum()
 
 
-def fit_rates(known: DataFrame, targets: dict[str, float], most_repeats: float = MOST_REPEATS, rounds: int = 30, close: float = 2e-3) -> tuple[Column, list[float]]:
-    """The rate as an expression over p_<domain>, and the last relative misses by domain. `known` has n_tokens and p_<domain>.
+def fit_rates(known: DataFrame, targets: dict[str, float], most_repeats: float = MOST_REPEATS, rounds: int = 100, close: float = 1e-4) -> tuple[Column, list[float]]:
+    """The rate as an expression over p_<domain>, and the relative misses of the declared targets by domain. `known` has n_tokens and p_<domain>.
 
-    The squared misses are weighted by target^2 / present share, which makes the problem well conditioned: with hard
-    membership one step would do, and the largest eigenvalue of the domains' overlap gives a step that can't diverge.
+    Rates minimise the squared misses, weighted by 1 / present share, plus penalty * (rate - 1)^2. At the optimum a
+    rate is max(0, 1 + p . pull), so only the domains' multipliers are sought: gradient steps with Newton's scaling,
+    halved until the dual objective grows. The penalty goes from PENALTY toward LEAST_PENALTY until the relative misses
+    of the targets that `reachable` leaves are under `close`; if no rates meet them the least-squares fit remains. The
+    misses returned are of the declared targets, so those that were lowered show too.
     """
     domains = list(targets)
     p = [F.col(f"p_{d}") for d in domains]
     total = known.agg(F.sum("n_tokens").alias("t")).first()["t"] or 0.0
     if not total:
         return F.lit(1.0), [0.0] * len(domains)
-    share = np.array([targets[d] for d in domains]) / sum(targets.values())
-    w = F.col("n_tokens") / total
-    moments = known.agg(*[F.sum(w * a) for a in p], *[F.sum(w * a * b) for a in p for b in p]).first()
-    mass = np.maximum(np.array(moments[: len(p)], float), 1e-9)
-    share = reachable(share, mass, most_repeats)
-    second = np.array(moments[len(p) :], float).reshape(len(p), -1) / np.sqrt(np.outer(mass, mass))
-    size = 1 / (np.linalg.eigvalsh(second).max() + PENALTY)
-    steps: list[list[float]] = []
-    miss: list[float] = []
+    declared = np.array([targets[d] for d in domains]) / sum(targets.values())
+    w, n = F.col("n_tokens") / total, len(domains)
+    mass = np.maximum(np.array(known.agg(*[F.sum(w * x) for x in p]).first(), float), 1e-9)
+    share = reachable(declared, mass, most_repeats)
+
+    def look(pull: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """Half the sum of squared rates, the domains' totals, and their derivatives, at these multipliers."""
+        r = rate_at(pull, domains)
+        on = F.when(r > 0, w).otherwise(0.0)
+        got = np.array(known.agg(F.sum(w * r * r) / 2, *[F.sum(w * x * r) for x in p], *[F.sum(on * a * b) for a in p for b in p]).first(), float)
+        return got[0], got[1 : n + 1], got[n + 1 :].reshape(n, n)
+
+    def short(sums: np.ndarray, goal: np.ndarray) -> np.ndarray:
+        return np.where(goal > 0, sums / np.maximum(goal, 1e-12) - 1, sums)
+
+    pull, penalty = np.zeros(n), PENALTY
+    at = look(pull)
     for _ in range(rounds):
-        r = rate_after(steps, size, domains)
-        sums = known.agg(*[F.sum(w * x * r) for x in p]).first()
-        before, miss = miss, [float(s / t - 1) for s, t in zip(sums, share)]
-        if before and max(abs(a - b) for a, b in zip(before, miss)) < close:
+        if np.abs(short(at[1], share)).max() < close:
             break
-        steps.append([float(m * t / n) for m, t, n in zip(miss, share, mass)])
-    return rate_after(steps, size, domains), miss
+        slope = share - at[1] - penalty * mass * pull
+        if np.abs(slope).max() < 1e-3 * close * max(share.min(), 1e-4):
+            if penalty <= LEAST_PENALTY:
+                break
+            penalty /= 100
+            continue
+        step = np.linalg.solve(at[2] + penalty * np.diag(mass) + 1e-12 * np.eye(n), slope)
+        before = pull @ share - at[0] - penalty * (mass @ pull**2) / 2
+        length = 1.0
+        while length > 1e-6:
+            there = pull + length * step
+            then = look(there)
+            if there @ share - then[0] - penalty * (mass @ there**2) / 2 >= before + 1e-4 * length * (slope @ step) - 1e-13:
+                break
+            length /= 2
+        else:
+            break
+        pull, at = there, then
+    return rate_at(pull, domains), short(at[1], declared).tolist()
 
 
-def mix_softly(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE_LABELS, carry: list[str] | None = None) -> DataFrame:
-    """The columns `carry` of docs (all if None) with n_tokens (words), p_<domain>, rate, and copies.
+def mix_softly(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE_LABELS, carry: list[str] | None = None, most_repeats: float = MOST_REPEATS) -> DataFrame:
+    """The columns `carry` of docs (all if None) with n_tokens (words), p_<domain>, rate, copies, and miss_<domain>.
 
     `copies` is rate rounded up or down by a draw that id and seed fix, with the rate as its mean. Domains are those
     of DOMAINS over `labels` (doc_id, quality, toxic); null labels are ignored. A domain with no labelled document
     has probability 0, and its target goes to the others in proportion, as does what is
-    beyond MOST_REPEATS times a domain's present share. Classifiers are fitted on at most `sample`
+    beyond `most_repeats` times a domain's present share. miss_<domain>, the same on every row, is the domain's
+    expected share under the rates over its declared one, less 1; it is null for a domain without documents or target. Classifiers are fitted on at most `sample`
     labelled rows; totals are over all documents. A null or empty text has no words and takes part without weight.
     Repeated rows get equal rates and copies, an empty table gives an empty result; carried columns must not bear
     the names of the new ones.
@@ -110,11 +133,12 @@ def mix_softly(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | N
     known = seen.select(*carry, "_id", F.col("_f.n_words").alias("n_tokens"), *[(1 / (1 + F.exp(-z))).alias(f"_{d}") for d, z in odds.items()])
     whole = sum((F.col(f"_{d}") for d in fitted), F.lit(0.0))
     known = saved(known.select(*carry, "_id", "n_tokens", *[(F.col(f"_{d}") / whole).alias(f"p_{d}") for d in fitted]))
-    rate, _ = fit_rates(known, targets) if targets else (F.lit(1.0), [])
+    rate, miss = fit_rates(known, targets, most_repeats) if targets else (F.lit(1.0), [])
+    misses = [F.lit(dict(zip(targets, miss)).get(d)).cast("double").alias(f"miss_{d}") for d in DOMAINS]
     draw = F.pmod(F.xxhash64(F.lit(seed), "_id"), F.lit(1 << 30)) / float(1 << 30)
     probabilities = [F.col(f"p_{d}") if d in fitted else F.lit(0.0).alias(f"p_{d}") for d in DOMAINS]
     out = known.withColumn("rate", rate)
-    return out.select(*carry, F.col("n_tokens").cast("long").alias("n_tokens"), *probabilities, "rate", F.floor(F.col("rate") + draw).cast("int").alias("copies"))
+    return out.select(*carry, F.col("n_tokens").cast("long").alias("n_tokens"), *probabilities, "rate", F.floor(F.col("rate") + draw).cast("int").alias("copies"), *misses)
 
 
 def take_copies(mixed: DataFrame) -> DataFrame:

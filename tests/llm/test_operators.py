@@ -135,6 +135,24 @@ def test_rates_meet_targets(spark):
     assert soft_mixing.reachable(np.array([0.9, 0.1]), np.array([0.999, 0.001]), 4.0)[1] == pytest.approx(0.004)
 
 
+def test_rates_meet_targets_of_overlapping_domains(spark):
+    rng = np.random.default_rng(6)
+    raw = rng.dirichlet([3.0, 0.8, 0.9], 2000) ** 2 + 1e-6
+    raw /= raw.sum(1, keepdims=True)
+    known = spark.createDataFrame([(float(n), *map(float, p)) for n, p in zip(rng.integers(5, 500, 2000), raw)], "n_tokens double, p_a double, p_b double, p_c double")
+    sums = [F.sum(F.expr(f"r * n_tokens * p_{d}")).alias(d) for d in "abc"] + [F.sum("n_tokens").alias("n"), F.min("r").alias("least")]
+    for targets in ({"a": 0.9, "b": 0.02, "c": 0.08}, {"a": 0.2, "b": 0.3, "c": 0.5}):
+        rate, miss = soft_mixing.fit_rates(known, targets)
+        got = known.withColumn("r", rate).agg(*sums).first()
+        assert got.least >= 0 and max(map(abs, miss)) < 1e-3
+        assert all(got[d] / got.n == pytest.approx(t, rel=1e-3) for d, t in targets.items())
+    _, miss = soft_mixing.fit_rates(known, {"a": 0.01, "b": 0.01, "c": 0.98}, most_repeats=1.5)
+    assert abs(miss[2]) > 0.2  # a lowered target is reported as missed
+    even = known.withColumn("p_a", F.lit(0.9)).withColumn("p_b", F.lit(0.1))
+    _, miss = soft_mixing.fit_rates(even, {"a": 0.5, "b": 0.5}, most_repeats=100.0)
+    assert miss[0] > 0.5 and miss[1] < -0.5  # no rates meet these, and the misses say so
+
+
 # 3
 
 
