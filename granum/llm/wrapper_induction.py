@@ -30,7 +30,9 @@ from granum.llm.url_filter import host_and_path
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea iframe svg math object canvas".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var br img wbr".split())
-OUT_TAGS = frozenset("head title nav header footer aside form select button menu dialog".split())
+OUT_TAGS = frozenset("head title nav header footer aside select button menu dialog".split())
+#: Tags that count as names do: some sites have the whole page in a form. Elements that no name puts outside.
+WEAK_TAGS, TRUNK = frozenset(["form"]), frozenset("html body main article".split())
 OUT_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert".split())
 OUT_WORDS = frozenset(
     "ad ads adv advert advertisement adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr masthead menu modal nav navbar navigation newsletter"
@@ -49,10 +51,10 @@ ARTICLE_SAME, ARTICLE_PAGES, ARTICLE_CHARS = 0.9, 20, 80
 
 
 class Node:
-    __slots__ = ("label", "children", "blocks", "out", "article")
+    __slots__ = ("label", "children", "blocks", "out", "article", "named")
 
     def __init__(self, label: str, out: bool, article: bool):
-        self.label, self.children, self.blocks, self.out, self.article = label, [], [], out, article
+        self.label, self.children, self.blocks, self.out, self.article, self.named = label, [], [], out, article, False
 
 
 def parse(page: str) -> tuple[Node, list[str]]:
@@ -112,9 +114,11 @@ def parse(page: str) -> tuple[Node, list[str]]:
         named = {k.lower(): v.strip("\"'").lower() for k, v in NAMES.findall(rest)} if rest else {}
         words = set(re.split(r"[^a-z0-9]+", f"{named.get('class', '')} {named.get('id', '')}")) if named else set()
         article = up.article or tag in ("article", "main")
-        out = up.out or tag in OUT_TAGS and not (tag == "header" and up.article) or named.get("role") in OUT_ROLES or bool(words & OUT_WORDS)
+        trunk = tag in TRUNK and not (tag == "article" and up.article)  # an article in another may be a comment
+        out = up.out or tag in OUT_TAGS and not (tag == "header" and up.article) or not trunk and named.get("role") in OUT_ROLES
         first = named.get("class", "").split()
         node = Node(f"{tag}.{first[0]}" if first else tag, out, article)
+        node.named = not trunk and (tag in WEAK_TAGS or bool(words & OUT_WORDS))
         up.children.append(node)
         if not rest.endswith("/"):
             stack.append((tag, node))
@@ -214,13 +218,35 @@ def content(page: str | None, reference: list[list] | None, constant: set[int])
         for i, j in align(reference, own):
             if i in constant and reference[i][2] == own[j][2]:
                 drop.update(own[j][5])
+    marked, free = chosen(root, blocks, drop, True)
+    if not marked and not free:
+        marked, free = chosen(root, blocks, drop, False)
+    return "\n\n".join(blocks[b] for b in sorted(marked or free))
+
+
+def chosen(root: Node, blocks: list[str], drop: set[int], names: bool) -> tuple[list[int], list[int]]:
+    """The blocks in marked articles and the others, without `drop` and what is outside by tag or, if asked, by name.
+
+    A name doesn't count on an element below which most of the page's remaining text lies: it names the layout then.
+    """
+    order, todo = [], [root]
+    while todo:
+        n = todo.pop()
+        order.append(n)
+        todo += n.children
+    own = {id(n): 0 if n.out else sum(len(blocks[b]) for b in n.blocks if b not in drop) for n in order}
+    below = dict.fromkeys(own, 0)
+    for n in reversed(order):
+        below[id(n)] = sum(own[id(c)] + below[id(c)] for c in n.children)
     marked, free, todo = [], [], [root]
     while todo:
         n = todo.pop()
+        if names and n.named and 2 * below[id(n)] <= below[id(root)] + own[id(root)]:
+            continue
         if not n.out:
             (marked if n.article else free).extend(b for b in n.blocks if b not in drop)
         todo += n.children
-    return "\n\n".join(blocks[b] for b in sorted(marked or free))
+    return marked, free
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", broadcast_hosts: int = 20_000) -> DataFrame:

@@ -308,6 +308,21 @@ def test_template_without_marks(spark):
     assert Counter(got) == Counter(want)
 
 
+def test_names_of_the_layout_take_no_page_away(spark):
+    story = "<h2>Head {0}</h2><p>Story {0} of this page</p><p>and more {0} of it</p>"
+    shells = [
+        "<body class='no-sidebar'>@</body>",
+        "<body><div class='content has-sidebar'>@</div></body>",
+        "<body><article class='post share-enabled'>@</article></body>",
+        "<body><div class='nav-open'><div id='wrap'>@</div></div></body>",
+        "<body><form id='page'><div>@</div></form></body>",
+        "<body><div class='share'>Story {0}</div></body>",
+    ]
+    rows = [(10 * k + i, f"http://h{k}.com/{i}", shell.replace("@", story).replace("</body>", "<div class='ad'>Buy {0}</div></body>" if "@" in shell else "</body>").format(i)) for k, shell in enumerate(shells) for i in range(4)]
+    got = {r.page_id: r.text for r in wrapper_induction.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {10 * k + i: f"Head {i}\n\nStory {i} of this page\n\nand more {i} of it" if k < 5 else f"Story {i}" for k in range(6) for i in range(4)}
+
+
 def test_simple_tree_matching():
     a = [["r", -1, 0, 0, 0], ["p", 0, 5, 1, 0], ["d", 0, 6, 1, 0], ["u", 2, 7, 1, 0]]
     b = [["r", -1, 0, 0, 0], ["d", 0, 6, 1, 0], ["u", 1, 9, 1, 0], ["p", 0, 5, 1, 0]]
