@@ -1,13 +1,14 @@
 """Main text of web pages by wrapper induction.
 
-Pages of one host come from one template. A reference page is taken for each host, every different page of the host
-is aligned with it by simple tree matching, and the reference's nodes are counted: those that carry the same text on
-most pages are template, slots whose text varies are content. Each page is then aligned with its host's wrapper and
-loses what falls on template nodes. What an element says of itself (navigation, forms, adverts, comments) counts too,
-and where a page marks its article, the article is where content is looked for.
-
-The trees hold block elements only; runs of like siblings are one node, so that lists and paragraphs of any number
-align. Wrappers are learnt from all pages: only counts per host and node are shuffled beside one skeleton per page.
+Pages of one host come from a few templates, told apart by the elements that hold others. A reference page is taken for
+each, every different page of the template is aligned with it by simple tree matching, and the reference's nodes are
+counted: those that carry the same text on most pages that have them are template, slots whose text varies are content.
+Each page is then aligned with its wrapper and loses what falls on template nodes. What an element says of itself
+(navigation, forms, adverts, comments) counts too. On hosts with too few pages for a wrapper a marked article is where
+content is looked for.
+
+The trees hold block elements only; runs of paragraphs and items are one node, so that lists and paragraphs of any
+number align. Wrappers are learnt from all pages: only counts per host and node are shuffled beside one skeleton per page.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from granum.llm.common import maybe_broadcast, saved, ship
@@ -41,13 +42,16 @@ OUT_WORDS = frozenset(
 P_ENDS = frozenset("address article aside blockquote center details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 CLOSES = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option", "thead": "tr td th", "tbody": "tr td th thead"}
 CLOSES = {k: frozenset(v.split()) for k, v in CLOSES.items()}
+#: Elements whose runs of like siblings are one node, so that lists and paragraphs of any number align; others only in runs over LONG_RUN.
+FOLDED = frozenset("p li dt dd tr td th h1 h2 h3 h4 h5 h6 blockquote pre figure option".split())
+LONG_RUN = 30
 SCOPE = frozenset("ul ol dl table body html div section article main td th nav".split())
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:_-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][a-zA-Z0-9:_-]*)([^>]*)>""", re.S)
 NAMES = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 MOST_SAME, LEAST_PAGES = 0.5, 3
-#: In a marked article only short nodes that nearly every one of many pages has are template.
-ARTICLE_SAME, ARTICLE_PAGES, ARTICLE_CHARS = 0.9, 20, 80
+#: Templates of a host that get a wrapper of their own; pages of further ones are aligned with the commonest.
+MOST_SHAPES = 6
 
 
 class Node:
@@ -117,7 +121,8 @@ def parse(page: str) -> tuple[Node, list[str]]:
         trunk = tag in TRUNK and not (tag == "article" and up.article)  # an article in another may be a comment
         out = up.out or tag in OUT_TAGS and not (tag == "header" and up.article) or not trunk and named.get("role") in OUT_ROLES
         first = named.get("class", "").split()
-        node = Node(f"{tag}.{first[0]}" if first else tag, out, article)
+        name = f"#{re.sub('[0-9]+', '0', named['id'])}" if named.get("id") and tag not in FOLDED else ""
+        node = Node(f"{tag}{name}.{first[0]}" if first else tag + name, out, article)
         node.named = not trunk and (tag in WEAK_TAGS or bool(words & OUT_WORDS))
         up.children.append(node)
         if not rest.endswith("/"):
@@ -127,7 +132,7 @@ def parse(page: str) -> tuple[Node, list[str]]:
 
 
 def fold(node: Node) -> Node:
-    """The tree with each run of siblings of one label as one node that has their blocks and children."""
+    """The tree with each run of paragraphs, items or the like of one label as one node that has their blocks and children."""
     out = Node(node.label, node.out, node.article)
     out.blocks = list(node.blocks)
     todo = [(node, out)]
@@ -139,7 +144,8 @@ def fold(node: Node) -> Node:
                 runs[-1].append(c)
             else:
                 runs.append([c])
-        for group in runs:
+        groups = [g for run in runs for g in ([run] if re.split("[#.]", run[0].label)[0] in FOLDED or len(run) > LONG_RUN else [[c] for c in run])]
+        for group in groups:
             one = Node(group[0].label, all(g.out for g in group), any(g.article for g in group))
             one.blocks = [b for g in group for b in g.blocks]
             merged = Node(one.label, one.out, one.article)
@@ -160,6 +166,16 @@ def skeleton(root: Node, blocks: list[str]) -> list[list]:
     return flat
 
 
+def shape(flat: list[list]) -> int:
+    """What pages of one template share: the paths of the elements that hold others, without paragraphs and what is in articles."""
+    paths, kept = [""] * len(flat), set()
+    for i, (label, parent, _, _, article, *_) in enumerate(flat):
+        paths[i] = f"{paths[parent]}/{label}" if parent >= 0 else label
+        if not article and re.split("[#.]", label)[0] not in FOLDED:
+            kept.add(paths[i])
+    return xxhash.xxh3_64_intdigest("\n".join(sorted(kept))) >> 1
+
+
 def align(a: list[list], b: list[list]) -> list[tuple[int, int]]:
     """Simple tree matching: pairs of nodes of two skeletons, as many as labels, order and ancestry allow; equal texts count twice."""
     if len(a) == len(b) and all(x[0] == y[0] and x[1] == y[1] for x, y in zip(a, b)):
@@ -207,15 +223,17 @@ def align(a: list[list], b: list[list]) -> list[tuple[int, int]]:
     return out
 
 
-def content(page: str | None, reference: list[list] | None, constant: set[int]) -> str:
+def content(page: str | None, templates: list[tuple[int, list[list], set[int]]]) -> str:
     """The page's main text: its blocks that are no template and not said to be beside the article, joined by blank lines."""
     if not page:
         return ""
     root, blocks = parse(page)
     drop: set[int] = set()
-    if reference and constant:
+    if templates:
         own = skeleton(root, blocks)
-        for i, j in align(reference, own):
+        like = shape(own)
+        _, reference, constant = next((t for t in templates if t[0] == like), templates[0])
+        for i, j in align(reference, own) if constant else ():
             if i in constant and reference[i][2] == own[j][2]:
                 drop.update(own[j][5])
     marked, free = chosen(root, blocks, drop, True)
@@ -268,48 +286,62 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
             seen = {}
             for h, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if page:
-                    code = json.dumps([x[:5] for x in skeleton(*parse(page))], ensure_ascii=False, separators=(",", ":"))
-                    seen[h, xxhash.xxh3_64_intdigest(code) >> 1] = code
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.int64()), pa.array(list(seen.values()), pa.string())], names=["host", "sig", "code"])
+                    flat = skeleton(*parse(page))
+                    code = json.dumps([x[:5] for x in flat], ensure_ascii=False, separators=(",", ":"))
+                    seen[h, xxhash.xxh3_64_intdigest(code) >> 1] = code, shape(flat)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.int64()), pa.array([v[1] for v in seen.values()], pa.int64()), pa.array([v[0] for v in seen.values()], pa.string())],
+                names=["host", "sig", "shape", "code"],
+            )
 
     def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            same, references = Counter(), {}
-            for h, code, ref in zip(*(c.to_pylist() for c in batch.columns)):
-                if h not in references:
-                    references[h] = json.loads(ref)
-                a, b = references[h], json.loads(code)
-                same.update((h, i) for i, j in align(a, b) if a[i][2] == b[j][2] != 0)
-            keys = list(same)
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([same[k] for k in keys], pa.int64())], names=["host", "node", "same"])
-
-    outlines = rows.select("host", "html").mapInArrow(outline, "host string, sig bigint, code string")
-    outlines = saved(outlines.groupBy("host", "sig").agg(F.first("code").alias("code")))
-    hosts = saved(outlines.groupBy("host").agg(F.count("*").alias("n"), F.min_by("code", F.struct(F.xxhash64("sig"), "sig")).alias("reference")).where(F.col("n") >= LEAST_PAGES))
-    asked = outlines.join(maybe_broadcast(hosts, broadcast_hosts), "host")
-    counted = asked.select("host", "code", "reference").mapInArrow(votes, "host string, node int, same bigint").groupBy("host", "node").agg(F.sum("same").alias("same"))
-    counted = counted.groupBy("host").agg(F.collect_list(F.struct("node", "same")).alias("nodes"))
-    wrappers = saved(hosts.join(counted, "host").select("host", "n", "reference", "nodes"))
+            met, same, references = Counter(), Counter(), {}
+            for h, code, number, ref in zip(*(c.to_pylist() for c in batch.columns)):
+                if (h, number) not in references:
+                    references[h, number] = json.loads(ref)
+                a, b = references[h, number], json.loads(code)
+                for i, j in align(a, b):
+                    if a[i][2]:
+                        met[h, number, i] += 1
+                        same[h, number, i] += a[i][2] == b[j][2]
+            keys = list(met)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([k[2] for k in keys], pa.int32()), pa.array([met[k] for k in keys], pa.int64()), pa.array([same[k] for k in keys], pa.int64())],
+                names=["host", "number", "node", "met", "same"],
+            )
+
+    outlines = rows.select("host", "html").mapInArrow(outline, "host string, sig bigint, shape bigint, code string")
+    outlines = saved(outlines.groupBy("host", "sig").agg(F.first("shape").alias("shape"), F.first("code").alias("code")))
+    shapes = outlines.groupBy("host", "shape").agg(F.count("*").alias("n"), F.min_by("code", F.struct(F.xxhash64("sig"), "sig")).alias("reference"))
+    ranked = shapes.groupBy("host").agg(F.sum("n").alias("pages"), F.max_by(F.struct("shape", "n", "reference"), F.struct("n", "shape")).alias("top"))
+    first = ranked.where(F.col("pages") >= LEAST_PAGES).select("host", F.col("top.shape").alias("shape"), F.col("top.reference").alias("reference"), F.lit(0).alias("number"))
+    firsts = saved(first)
+    others = shapes.where(F.col("n") >= LEAST_PAGES).join(firsts.select("host", F.col("shape").alias("_first")), "host").where("shape <> _first")
+    others = others.withColumn("number", F.row_number().over(Window.partitionBy("host").orderBy(F.desc("n"), "shape"))).where(F.col("number") < MOST_SHAPES)
+    templates = saved(firsts.union(others.select("host", "shape", "reference", "number")))
+    own = maybe_broadcast(templates.where("number > 0").select("host", "shape", "number"), broadcast_hosts)
+    asked = outlines.join(own, ["host", "shape"], "left").withColumn("number", F.coalesce("number", F.lit(0)))
+    asked = asked.join(maybe_broadcast(templates.select("host", "number", "reference"), broadcast_hosts), ["host", "number"])
+    counted = asked.select("host", "code", "number", "reference").mapInArrow(votes, "host string, number int, node int, met bigint, same bigint")
+    counted = counted.groupBy("host", "number", "node").agg(F.sum("met").alias("met"), F.sum("same").alias("same"))
+    constant = counted.where((F.col("same") >= LEAST_PAGES) & (F.col("same") > MOST_SAME * F.col("met"))).groupBy("host", "number").agg(F.collect_list("node").alias("nodes"))
+    kept = templates.join(constant, ["host", "number"], "left").select("host", F.struct("number", "shape", "reference", F.coalesce("nodes", F.expr("array()")).cast("array<int>").alias("nodes")).alias("t"))
+    wrappers = saved(kept.groupBy("host").agg(F.sort_array(F.collect_list("t")).alias("templates")))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, tuple[list, set]] = {}
+        known: dict[str, list] = {}
         for batch in batches:
             texts = []
-            for page, h, n, ref, nodes in zip(*(c.to_pylist() for c in batch.columns[2:])):
-                if ref is not None and h not in known:
+            hosts, found = batch.column(3).to_pylist(), batch.column(4)
+            for i, page in enumerate(batch.column(2).to_pylist()):
+                if hosts[i] not in known:
                     if len(known) > 2000:
                         known.clear()
-                    reference = json.loads(ref)
-                    known[h] = reference, {x["node"] for x in nodes if _constant(reference[x["node"]], x["same"] / n, n)}
-                texts.append(content(page, *(known[h] if ref is not None else (None, set()))))
+                    known[hosts[i]] = [(t["shape"], json.loads(t["reference"]), set(t["nodes"])) for t in found[i].as_py() or []]
+                texts.append(content(page, known[hosts[i]]))
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(texts, pa.string())], names=["id", "url", "text"])
 
-    joined = rows.join(maybe_broadcast(wrappers, broadcast_hosts), "host", "left").select(id_col, url_col, "html", "host", "n", "reference", "nodes")
+    joined = rows.join(maybe_broadcast(wrappers, broadcast_hosts), "host", "left").select(id_col, url_col, "html", "host", "templates")
     out = joined.mapInArrow(extract, f"id {dict(pages.dtypes)[id_col]}, url {dict(pages.dtypes)[url_col]}, text string")
     return out.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", F.length("text").cast("long").alias("n_chars"))
-
-
-def _constant(node: list, share: float, pages: int) -> bool:
-    if node[4]:
-        return pages >= ARTICLE_PAGES and share >= ARTICLE_SAME and node[3] <= ARTICLE_CHARS
-    return pages >= LEAST_PAGES and share > MOST_SAME

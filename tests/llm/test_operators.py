@@ -323,6 +323,17 @@ def test_names_of_the_layout_take_no_page_away(spark):
     assert got == {10 * k + i: f"Head {i}\n\nStory {i} of this page\n\nand more {i} of it" if k < 5 else f"Story {i}" for k in range(6) for i in range(4)}
 
 
+def test_templates_of_a_host(spark):
+    plain = "<body><div id=top>menu</div><div id=content>story {0}</div><div id=bottom>rights</div></body>"
+    bare = "<body><div>menu</div><div>story {0}</div><div>rights</div></body>"
+    other = "<body><table class='t'><tr><td class='m'>menu</td></tr></table><section>story {0}<section>legal</section></section></body>"
+    note = "<body><div id=top>menu</div><div class='flash'>Down on Sunday</div><div id=content>story {0}</div><div id=bottom>rights</div></body>"
+    hosts = [[plain] * 5, [bare] * 5, [plain] * 4 + [other] * 9, [plain] * 9 + [other] * 3 + [note] * 3]
+    rows = [(100 * k + i, f"http://h{k}.com/{i}", page.format(i)) for k, pages in enumerate(hosts) for i, page in enumerate(pages)]
+    got = {r.page_id: r.text for r in wrapper_induction.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {100 * k + i: f"story {i}" for k, pages in enumerate(hosts) for i in range(len(pages))}
+
+
 def test_simple_tree_matching():
     a = [["r", -1, 0, 0, 0], ["p", 0, 5, 1, 0], ["d", 0, 6, 1, 0], ["u", 2, 7, 1, 0]]
     b = [["r", -1, 0, 0, 0], ["d", 0, 6, 1, 0], ["u", 1, 9, 1, 0], ["p", 0, 5, 1, 0]]
