@@ -224,7 +224,10 @@ def align(a: list[list], b: list[list]) -> list[tuple[int, int]]:
 
 
 def content(page: str | None, templates: list[tuple[int, list[list], set[int]]]) -> str:
-    """The page's main text: its blocks that are no template and not said to be beside the article, joined by blank lines."""
+    """The page's main text: its blocks that are no template and not said to be beside the article, joined by blank lines.
+
+    Where the host has wrappers they choose, inside marked articles and beside them; the marks do without a wrapper.
+    """
     if not page:
         return ""
     root, blocks = parse(page)
@@ -239,7 +242,7 @@ def content(page: str | None, templates: list[tuple[int, list[list], set[int]]])
     marked, free = chosen(root, blocks, drop, True)
     if not marked and not free:
         marked, free = chosen(root, blocks, drop, False)
-    return "\n\n".join(blocks[b] for b in sorted(marked or free))
+    return "\n\n".join(blocks[b] for b in sorted(marked + free if templates else marked or free))
 
 
 def chosen(root: Node, blocks: list[str], drop: set[int], names: bool) -> tuple[list[int], list[int]]:

@@ -323,6 +323,15 @@ def test_names_of_the_layout_take_no_page_away(spark):
     assert got == {10 * k + i: f"Head {i}\n\nStory {i} of this page\n\nand more {i} of it" if k < 5 else f"Story {i}" for k in range(6) for i in range(4)}
 
 
+def test_wrapper_chooses_not_the_marks(spark):
+    cards = "<body><div class='story'><p>Story {0}</p><p>more of it {0}</p></div><article class='card'>Read our best</article><article class='card'>Join us now</article></body>"
+    chrome = "<body><article><p>Share this page with everyone whom you know and who may like to read it, as often as you can do so</p><p class='text'>Story {0}</p></article></body>"
+    few = "<body><article>Story {0}</article><div>beside</div></body>"
+    rows = [(10 * k + i, f"http://h{k}.com/{i}", page.format(i)) for k, page in enumerate((cards, chrome, few)) for i in range(5 if k < 2 else 2)]
+    got = {r.page_id: r.text for r in wrapper_induction.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Story {i}\n\nmore of it {i}" for i in range(5)} | {10 + i: f"Story {i}" for i in range(5)} | {20 + i: f"Story {i}" for i in range(2)}
+
+
 def test_templates_of_a_host(spark):
     plain = "<body><div id=top>menu</div><div id=content>story {0}</div><div id=bottom>rights</div></body>"
     bare = "<body><div>menu</div><div>story {0}</div><div>rights</div></body>"
