@@ -1,7 +1,9 @@
 """SentencePiece encoding by unigram Viterbi over a double-array trie of pieces, and decoding.
 
-Pieces are the model file's own. So are their log scores in a unigram file; a BPE file has merge ranks instead, which
-are no log scores, and log probabilities are estimated from counts over all documents. A blank is written as the
+Pieces are the model file's own. So are their log scores in a unigram file. A BPE file has merge ranks instead, which
+are no log scores but order the pieces by how often they were met when the file was made; a piece of rank r gets the
+log probability that Zipf and Mandelbrot's law gives the r-th most frequent. So a text's ids depend on the file alone,
+nothing is trained, and the ids are not those of merging, which takes other paths. A blank is written as the
 marker U+2581 and a text gets one marker in front, as the file's normalizer asks. A character that no piece covers
 becomes its UTF-8 bytes by the byte pieces. Among segmentations the one of highest score sum is taken.
 """
@@ -10,7 +12,6 @@ from __future__ import annotations
 
 import re
 from array import array
-from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -20,29 +21,25 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granum.llm.common import saved, ship
+from granum.llm.common import ship
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
+#: Segments that a worker keeps, of up to BATCHED bytes each; longer ones are computed whenever they occur.
 MOST_SEGMENTS = 400_000
 BATCHED = 64
-#: Rounds of counting end when a round adds less than this to the mean log probability of a piece.
-ROUNDS, CLOSE = 12, 1e-3
-#: Distinct segments that a task counts before it hands them on.
-MOST_COUNTED = 200_000
-#: Counted for every piece beside what is there, so that none has probability 0.
-UNSEEN = 0.5
+#: The offset in Zipf and Mandelbrot's law, 1 / (rank + offset), as commonly given for words of prose.
+OFFSET = 2.7
 #: Letters, and numerals other than decimal digits, as a class of Python's re.
 LETTER = r"[^\W\d_]"
 
 
 class Pieces(NamedTuple):
-    """A model's pieces by id: text, score, and kind: normal, byte, control, unknown; whether scores are log probabilities."""
+    """A model's pieces by id: text, log score, and kind: normal, byte, control, unknown."""
 
     text: list[str]
     score: list[float]
     kind: list[str]
-    logs: bool = True
 
 
 def fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -79,7 +76,18 @@ def pieces(path: str) -> Pieces:
     p = sentencepiece.SentencePieceProcessor(model_file=path)
     ids = range(p.get_piece_size())
     kind = ["unknown" if p.is_unknown(i) else "control" if p.is_control(i) or p.is_unused(i) else "byte" if p.is_byte(i) else "normal" for i in ids]
-    return Pieces([p.id_to_piece(i) for i in ids], [p.get_score(i) for i in ids], kind, is_unigram(p.serialized_model_proto()))
+    score = [p.get_score(i) for i in ids]
+    return Pieces([p.id_to_piece(i) for i in ids], score if is_unigram(p.serialized_model_proto()) else log_scores(score, kind), kind)
+
+
+def log_scores(score: list[float], kind: list[str]) -> list[float]:
+    """Log probabilities for the normal pieces of a BPE file, whose scores are minus their merge ranks; 0 for others.
+
+    Pieces that no merge makes, which such files score far below, come last.
+    """
+    normal = np.array([k == "normal" for k in kind])
+    weight = np.where(normal, 1 / (np.clip(-np.array(score), 1, max(normal.sum(), 1)) + OFFSET), 0.0)
+    return np.where(normal, np.log(np.where(normal, weight, 1.0) / max(weight.sum(), 1e-300)), 0.0).tolist()
 
 
 class DoubleArray:
@@ -147,8 +155,8 @@ class Codec(dict):
         if any(MARK in p.text[i].lstrip(MARK) for i in normal):
             raise ValueError("a piece holds a marker behind other characters")
         self.trie = DoubleArray({p.text[i].encode(): i for i in normal})
-        self.normal = normal
-        self.rescore(p.score)
+        self.score, self.scores = p.score, np.array(p.score, np.float64)
+        self.unknown_score = min(p.score[i] for i in normal) - UNKNOWN_PENALTY
         self.byte_id = {int(p.text[i][3:5], 16): i for i, k in enumerate(p.kind) if k == "byte"}
         self.unknown_id = p.kind.index("unknown")
         pairs = {(a, b) for i in normal for a, b in zip(p.text[i], p.text[i][1:])}
@@ -163,12 +171,6 @@ class Codec(dict):
         self.lengths = np.array([len(t.encode()) for t in p.text], np.int32)
         self.is_byte = np.array([k == "byte" for k in p.kind])
 
-    def rescore(self, score: list[float]) -> None:
-        """Take other scores; what was known by the former ones is forgotten."""
-        self.clear()
-        self.score, self.scores = score, np.array(score, np.float64)
-        self.unknown_score = min(score[i] for i in self.normal) - UNKNOWN_PENALTY
-
     def segments(self, text: str | None) -> list[str]:
         return self.cut.findall(MARK + text.replace(" ", MARK)) if text else []
 
@@ -177,7 +179,8 @@ class Codec(dict):
         data = text.encode()
         base, check, value, score, n = self.trie.base, self.trie.check, self.trie.value, self.score, len(data)
         size = len(base)
-        best, back, piece = [None] * (n + 1), [0] * (n + 1), [0] * (n + 1)
+        none = float("-inf")
+        best, back, piece = array("d", [none]) * (n + 1), array("i", [0]) * (n + 1), array("i", [0]) * (n + 1)
         best[0] = 0.0
         i = 0
         while i < n:
@@ -192,12 +195,12 @@ class Codec(dict):
                 j += 1
                 if (v := value[t]) >= 0:
                     s = here + score[v]
-                    if best[j] is None or s > best[j]:
+                    if s > best[j]:
                         best[j], back[j], piece[j] = s, i, v
                     single = single or j == i + width
             if not single:
                 j, s = i + width, here + self.unknown_score
-                if best[j] is None or s > best[j]:
+                if s > best[j]:
                     best[j], back[j], piece[j] = s, i, -1
             i += width
         out, j = [], n
@@ -248,26 +251,27 @@ class Codec(dict):
         covered = best[np.arange(m), lens] > -np.inf
         return [row[row >= 0].tobytes() if ok else None for row, ok in zip(ids, covered)]
 
-    def learn(self, segments: set[str]) -> None:
-        """Put the ids of segments that aren't known yet."""
+    def learn(self, segments: set[str]) -> dict[str, bytes]:
+        """Put the ids of segments that aren't known yet; those of long ones are returned instead."""
         new = sorted((x for x in segments if x not in self), key=len)
         if len(self) + len(new) > MOST_SEGMENTS:
             self.clear()
             new = sorted(segments, key=len)
+        long: dict[str, bytes] = {}
         coded = [x.encode() for x in new]
         for a in range(0, len(new), 2048):
             part = coded[a : a + 2048]
-            if max(map(len, part)) <= BATCHED:
-                done = self.viterbi_many(part)
-            else:
-                done = [None] * len(part)
-            for x, ids in zip(new[a : a + 2048], done):
-                self[x] = array("i", self.viterbi(x)).tobytes() if ids is None else ids
+            done = self.viterbi_many(part) if max(map(len, part)) <= BATCHED else [None] * len(part)
+            for x, data, ids in zip(new[a : a + 2048], part, done):
+                (self if len(data) <= BATCHED else long)[x] = array("i", self.viterbi(x)).tobytes() if ids is None else ids
+        return long
 
     def encode_many(self, texts: list[str | None]) -> list[bytes]:
         """Per text its ids as the bytes of int32."""
         cut = [self.segments(t) for t in texts]
-        self.learn(set().union(*cut))
+        long = self.learn(set().union(*cut))
+        if long:
+            return [b"".join([self.get(s) or long[s] for s in x]) for x in cut]
         return [b"".join(map(self.__getitem__, x)) for x in cut]
 
     def decode(self, ids: list[int]) -> str:
@@ -294,86 +298,15 @@ def worker_codec(shared) -> Codec:
     return _codecs[key]
 
 
-def fit_scores(texts: DataFrame, p: Pieces) -> list[float]:
-    """Log probabilities of the pieces, by Viterbi training on all of `texts` (one column).
-
-    The different segments are counted once over all rows. From pieces of equal probability on, each round encodes
-    every segment by the scores so far and counts its pieces; the counts give the next scores. Counts are whole
-    numbers, so the scores don't depend on how rows are dealt. Shuffled: a task's different segments, and a row per
-    piece, task and round; at the driver there is one number for each piece.
-    """
-    sc = texts.sparkSession.sparkContext
-    shared = sc.broadcast(p)
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = Counter()
-
-        def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["segment", "n"])
-            seen.clear()
-            return out
-
-        for batch in batches:
-            codec = worker_codec(shared)
-            for text in batch.column(0).to_pylist():
-                seen.update(codec.segments(text))
-                if len(seen) > MOST_COUNTED:
-                    yield flush()
-        yield flush()
-
-    segments = saved(texts.mapInArrow(cut, "segment string, n bigint").groupBy("segment").agg(F.sum("n").alias("n")))
-    normal = np.array([k == "normal" for k in p.kind])
-    score = np.full(len(p.text), -float(np.log(normal.sum())))
-    before = -np.inf
-    for _ in range(ROUNDS):
-        now = sc.broadcast(score.tolist())
-
-        def tally(batches: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
-            counts = np.zeros(len(normal), np.int64)
-            codec = None
-            for batch in batches:
-                if codec is None:
-                    codec = worker_codec(shared)
-                    codec.rescore(now.value)
-                for at in range(0, batch.num_rows, 10_000):
-                    part = batch.slice(at, 10_000)
-                    words = part.column(0).to_pylist()
-                    codec.learn(set(words))
-                    coded = [codec[w] for w in words]
-                    ids = np.frombuffer(b"".join(coded), np.int32)
-                    np.add.at(counts, ids, np.repeat(part.column(1).to_numpy(), [len(c) // 4 for c in coded]))
-            if codec is not None:
-                codec.clear()  # the worker lives on, for the encoding
-            found = np.flatnonzero(counts)
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(counts[found])], names=["piece", "n"])
-
-        counts = np.zeros(len(normal))
-        for r in segments.mapInArrow(tally, "piece int, n bigint").groupBy("piece").agg(F.sum("n").alias("n")).collect():  # as large as the vocabulary
-            counts[r["piece"]] = r["n"]
-        counts = np.where(normal, counts, 0.0)
-        if not counts.sum():
-            break
-        score = np.where(normal, np.log((counts + UNSEEN) / (counts.sum() + UNSEEN * normal.sum())), 0.0)
-        total = float(counts @ score)
-        if total - before < CLOSE * counts.sum():
-            break
-        before = total
-    return score.tolist()
-
-
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: id, ids (array of int), n_byte_pieces (byte pieces among them).
 
     `path` names the model's file, read by the driver and sent to the tasks. A null or empty text gives an empty
     array. Repeated rows give repeated results, a null id stays null, an empty table gives an empty result, columns
-    beside id and text are ignored. A literal U+2581 is read as a blank. With a unigram file each text is read once,
-    without a shuffle. With a BPE file the scores are fitted on all of `docs` first, at once, and texts are read twice.
+    beside id and text are ignored. A literal U+2581 is read as a blank. Each text is read once, without a shuffle.
     """
     ship(docs.sparkSession)
-    own = pieces(path)
-    if not own.logs:
-        own = own._replace(score=fit_scores(docs.select(F.col(text_col).alias("text")), own), logs=True)
-    shared = docs.sparkSession.sparkContext.broadcast(own)  # as large as the vocabulary, whatever the corpus
+    shared = docs.sparkSession.sparkContext.broadcast(pieces(path))  # as large as the vocabulary, whatever the corpus
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = None

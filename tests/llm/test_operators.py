@@ -343,12 +343,6 @@ def test_templates_of_a_host(spark):
     assert got == {100 * k + i: f"story {i}" for k, pages in enumerate(hosts) for i in range(len(pages))}
 
 
-def test_simple_tree_matching():
-    a = [["r", -1, 0, 0, 0], ["p", 0, 5, 1, 0], ["d", 0, 6, 1, 0], ["u", 2, 7, 1, 0]]
-    b = [["r", -1, 0, 0, 0], ["d", 0, 6, 1, 0], ["u", 1, 9, 1, 0], ["p", 0, 5, 1, 0]]
-    assert sorted(wrapper_induction.align(a, b)) == [(0, 0), (2, 1), (3, 2)]
-
-
 # 10
 
 
@@ -398,21 +392,21 @@ def test_codec_scores_are_log_probabilities(spark):
     path = queries.tokenizer_file("piece_bpe_32k.model")
     lib, p = sentencepiece.SentencePieceProcessor(model_file=path), codec_pieces(path)
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
-    assert not p.logs  # a BPE file: its scores are merge ranks
-    score = np.array(piece_codec.fit_scores(docs.select("text"), p))
-    normal = np.array([k == "normal" for k in p.kind])
+    score, normal = np.array(p.score), np.array([k == "normal" for k in p.kind])
     assert np.exp(score[normal]).sum() == pytest.approx(1)
-    assert score.tolist() == piece_codec.fit_scores(docs.select("text").repartition(5), p)
-    counts = np.zeros(len(normal))
-    for r in piece_codec.encode(docs, path).collect():
-        np.add.at(counts, r.ids, 1)
-    counts[~normal] = 0
-    again = (counts[normal] + piece_codec.UNSEEN) / (counts.sum() + piece_codec.UNSEEN * normal.sum())
-    assert np.abs(np.exp(score[normal]) - again).sum() < 0.05  # a fixed point of the counting
+    ranks = np.array([-lib.get_score(i) for i in range(len(score))])
+    first = np.argsort(ranks[normal])
+    assert (np.diff(score[normal][first]) <= 0).all()  # the likelier the earlier merged
+    mine = sum(len(r.ids) for r in piece_codec.encode(docs, path).collect())
     theirs = sum(len(lib.encode(r.text or "")) for r in docs.collect())
-    assert counts.sum() < 1.02 * theirs
+    assert abs(mine - theirs) < 0.02 * theirs
     words = spark.createDataFrame([(i, "the data of the house") for i in range(3)], "doc_id long, text string")
     assert [p.text[i] for i in piece_codec.encode(words, path).first().ids] == ["▁the", "▁data", "▁of", "▁the", "▁house"]
+    codec = piece_codec.Codec(p)
+    for t in ["y" * 200 + "é" * 60, "short words only"]:
+        one, many = codec.viterbi(piece_codec.MARK + t.replace(" ", piece_codec.MARK)), codec.encode_many([t, t])
+        assert [np.frombuffer(m, np.int32).tolist() for m in many] == [one, one]
+    assert all(len(k.encode()) <= piece_codec.BATCHED for k in codec)  # long segments aren't kept
 
 
 # the pipeline
