@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The white space that separates words, as a Java regular expression class.
@@ -40,14 +40,25 @@ def ship(spark: SparkSession) -> None:
     sc._granum_shipped = True
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """Checkpoint in the shared folder that the session names, so that lost executors cost no recomputation.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names in spark.checkpoint.dir, which driver and executors share.
 
-    The folder is spark.checkpoint.dir; only where that is unset (tests, local mode) a temporary one is made.
+    Only in local mode, where there is one machine, a temporary one is made if it is unset; elsewhere that is an error.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="granum-checkpoint-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if folder is None and not sc.master.startswith("local-cluster") and sc.master.startswith("local"):
+            folder = tempfile.mkdtemp(prefix="granum-checkpoint-")
+        if folder is None:
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """Checkpoint in the shared folder, so that lost executors cost no recomputation."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -61,6 +72,16 @@ def maybe_broadcast(df: DataFrame, limit: int) -> DataFrame:
     return F.broadcast(df) if fewer_than(df, limit) else df
 
 
+def held(columns: list[str], name: str = "_doc") -> Column:
+    """A row's own columns as one struct, so that an operator's columns can bear any names beside them."""
+    return F.struct(*[F.col(f"`{c}`") for c in columns]).alias(name)
+
+
+def freed(columns: list[str], new: list[str], name: str = "_doc") -> list[Column]:
+    """The columns that `held` put away; one that bears the name of a `new` one gives way to it."""
+    return [F.col(f"{name}.`{c}`").alias(c) for c in columns if c.lower() not in {n.lower() for n in new}]
+
+
 def sorted_groups(df: DataFrame, keys: list[str], make: Callable[[dict[str, np.ndarray]], Iterator[tuple]], schema: str) -> DataFrame:
     """Call `make` with the columns of each group of equal keys and return the rows that it yields.
 
@@ -133,10 +154,7 @@ def forest(n: int, linked: Callable[[int, np.ndarray], np.ndarray]) -> list[tupl
 
 
 def written(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in a folder of its own under the session's checkpoint folder, read again."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="granum-checkpoint-"))
-    path = f"{sc.getCheckpointDir()}/stage-{uuid.uuid4().hex}"
+    """df as a Parquet table in a folder of its own under the shared folder, read again."""
+    path = f"{shared_folder(df.sparkSession)}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
