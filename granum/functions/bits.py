@@ -40,3 +40,48 @@ def geohash(lon: Column, lat: Column, length: int) -> Column:
             value = value * 2 + F.shiftright(source, n - 1 - at).bitwiseAND(F.lit(1))
         digits.append(F.substring(F.lit(GEOHASH), value.cast("int") + 1, F.lit(1)))
     return F.concat(*digits)
+
+
+def hash64(c: Column) -> Column:
+    """A 64-bit hash of a value's bytes; Spark's own seed and typing, so other libraries' values differ."""
+    return F.xxhash64(c)
+
+
+def hex_of(c: Column) -> Column:
+    return F.lower(F.hex(c))
+
+
+def from_hex(s: Column) -> Column:
+    """The text of hexadecimal bytes in UTF-8, null if it is none."""
+    return F.try_validate_utf8(F.unhex(s).cast("string"))
+
+
+def coerce(c: Column, kind: str) -> Column:
+    """The value as another type, null where it has no such form."""
+    return c.try_cast(kind)
+
+
+def rescale(c: Column, scale: int, precision: int = 38) -> Column:
+    """A decimal of so many places, rounded half up (away from 0)."""
+    return F.round(c.cast("decimal(38,18)"), scale).cast(f"decimal({precision},{scale})")
+
+
+def bounding_box(lon: float, lat: float, km: float) -> tuple[float, float, float, float]:
+    """West, east, south, north of what lies within so many kilometres."""
+    from math import cos, radians
+
+    from granum.functions.predicates import KM_PER_DEGREE
+
+    d = km / KM_PER_DEGREE
+    w = d / max(cos(radians(lat)), 1e-9)
+    return lon - w, lon + w, lat - d, lat + d
+
+
+def geohash_text(lon: float, lat: float, length: int) -> str:
+    """The geohash of one place, as geohash() gives it for columns."""
+    bits = 5 * length
+    n_lon, n_lat = (bits + 1) // 2, bits // 2
+    x = min(int((lon + 180) / 360 * (1 << n_lon)), (1 << n_lon) - 1)
+    y = min(int((lat + 90) / 180 * (1 << n_lat)), (1 << n_lat) - 1)
+    both = [x >> (n_lon - 1 - k // 2) & 1 if k % 2 == 0 else y >> (n_lat - 1 - k // 2) & 1 for k in range(bits)]
+    return "".join(GEOHASH[int("".join(map(str, both[d : d + 5])), 2)] for d in range(0, bits, 5))

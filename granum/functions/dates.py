@@ -66,3 +66,40 @@ def difference_in(unit: str, now: Column, old: Column) -> Column:
     seconds = {"second": 1, "minute": 60, "hour": 3600, "day": 86400}[unit]
     d = F.unix_timestamp(now) - F.unix_timestamp(old)
     return (F.signum(d) * F.floor(F.abs(d) / seconds)).cast("long")
+
+
+# Formats with English names of months, such as "29 Feb 2024" and "February 29, 2024".
+ENGLISH = ["d MMM yyyy", "d MMMM yyyy", "MMM d, yyyy", "MMMM d, yyyy", "EEE MMM dd HH:mm:ss yyyy", "d-MMM-yyyy", "dd/MMM/yyyy"]
+
+
+def parse_english(s: Column) -> Column:
+    """A timestamp from text in any of ENGLISH, in any case; else null. A day's name in front counts for nothing."""
+    s = F.regexp_replace(F.initcap(F.lower(F.trim(s))), r"^(?:Mon|Tue|Wed|Thu|Fri|Sat|Sun)[a-z]*,? ", "")
+    s = F.regexp_replace(F.initcap(F.regexp_replace(s, "[-/]", " ")), " +", " ")
+    formats = [f.replace("-", " ").replace("/", " ").removeprefix("EEE ").replace("dd", "d") for f in ENGLISH]
+    return F.coalesce(*[F.try_to_timestamp(s, F.lit(f)) for f in dict.fromkeys(formats)])
+
+
+def local_parts(ts: Column) -> tuple[Column, Column]:
+    """Date and time of day (text, to the second) of a timestamp."""
+    return F.to_date(ts), F.date_format(ts, "HH:mm:ss")
+
+
+def is_same_day(ts: Column, day: Column, ago: int = 0) -> Column:
+    """Whether a timestamp falls on `day`, or so many days before it: today with 0, yesterday with 1."""
+    return F.coalesce(F.to_date(ts) == F.date_sub(day, ago), F.lit(False))
+
+
+def is_date_time(s: Column) -> Column:
+    return parse_any(s).isNotNull()
+
+
+def readable_age(now: Column, old: Column) -> Column:
+    """The largest whole unit between two timestamps: "3 days", "1 hour", "0 seconds"."""
+    seconds = F.abs(F.unix_timestamp(now) - F.unix_timestamp(old))
+    out = None
+    for unit, size in (("day", 86400), ("hour", 3600), ("minute", 60), ("second", 1)):
+        n = F.floor(seconds / size)
+        text = F.concat(n.cast("string"), F.when(n == 1, f" {unit}").otherwise(f" {unit}s"))
+        out = F.when(n > 0, text) if out is None else out.when(n > 0, text)
+    return out.otherwise("0 seconds")

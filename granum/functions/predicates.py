@@ -11,10 +11,13 @@ from collections.abc import Callable, Iterable, Sequence
 from functools import reduce
 from typing import Any, NamedTuple
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 EMBEDDED, WIRE = "embedded", "wire"
+OPERATORS = ["EQ", "NE", "GT", "GE", "LT", "LE", "LIKE", "LIKE_LEFT", "LIKE_RIGHT", "BETWEEN", "IN", "NOT_IN", "IS_NULL", "IS_NOT_NULL"]
+#: Names of columns that stand for several others begin so.
+COMPOSITE = "@composite:"
 Resolve = Callable[[str], Column]
 
 
@@ -27,10 +30,36 @@ class Criterion(NamedTuple):
     b: Any = None
 
     def expr(self, dialect: str = EMBEDDED, resolve: Resolve = F.col) -> Column:
+        if self.op not in OPERATORS:
+            raise ValueError(f"unknown operator {self.op}")
+        if dialect == WIRE and self.column.startswith(COMPOSITE):
+            raise ValueError(f"{self.column} is a composite column, which no predicate reads")
+        if dialect == WIRE and (self.op in OPERATORS[:9] and self.a is None or self.op == "BETWEEN" and None in (self.a, self.b)):
+            raise ValueError(f"{self.op} needs an operand that isn't null")
         c = resolve(self.column)
         return (_embedded if dialect == EMBEDDED else _wire)(self.op, c, self.a, self.b)
 
 
+class Exists(NamedTuple):
+    """Whether the inner table has a row, with equal keys (outer, inner) if `on` is given; NOT EXISTS if found is false.
+
+    It can stand anywhere in a tree of criteria; Spark plans it as a semi, anti or existence join.
+    """
+
+    inner: DataFrame
+    on: tuple[str, str] | None = None
+    found: bool = True
+
+    def expr(self, dialect: str = EMBEDDED, resolve: Resolve = F.col) -> Column:
+        inner = self.inner if self.on is None else self.inner.where(F.col(self.on[1]) == F.col(self.on[0]).outer())
+        return inner.exists() if self.found else ~inner.exists()
+
+
+def in_rows(column: str, inner: DataFrame, key: str, found: bool = True) -> Exists:
+    """IN (sub-query), or NOT IN; nulls among the inner values are equal to nothing."""
+    return Exists(inner, (column, key), found)
+
+
 class All(NamedTuple):
     """All of the parts; an empty list holds for every row."""
 
@@ -118,15 +147,15 @@ def conditions(spec: dict[str, Any], columns: Sequence[str]) -> All:
     `prop` is equality and `prop_NotEq` inequality; either ends what is read of that property. Others: _Like,
     _LikeLeft, _LikeRight, _In and _NotIn (a list, or text of comma-separated whole numbers), _Start, _End, _Gt, _Lt,
     _Ge, _Le, _Fuzzy (a prefix of yyyyMMddHHmmss: the whole span it names). isNullProps and isNotNullProps list
-    properties by commas. lon, lat and geoSearchRadius (km) give a bounding box.
+    properties by commas. lon, lat and geoSearchRadius (km) give a bounding box; lon, lat and geoHashLength the rows
+    whose geo_code begins with the geohash of that length.
     """
-    import math
-
+    from granum.functions.bits import bounding_box, geohash_text
     from granum.functions.dates import fuzzy_span
 
     out: list[Criterion] = []
     numbers = lambda v: [int(x) for x in v.split(",") if x.strip()] if isinstance(v, str) else list(v)
-    near = {"lon", "lat"} if "geoSearchRadius" in spec else set()
+    near = {"lon", "lat"} if "geoSearchRadius" in spec or "geoHashLength" in spec else set()
     for p in columns:
         if p in near:
             continue
@@ -142,11 +171,11 @@ def conditions(spec: dict[str, Any], columns: Sequence[str]) -> All:
             out.append(Criterion("BETWEEN", p, *fuzzy_span(spec[f"{p}_Fuzzy"])))
     for key, op in (("isNullProps", "IS_NULL"), ("isNotNullProps", "IS_NOT_NULL")):
         out += [Criterion(op, p.strip()) for p in spec.get(key, "").split(",") if p.strip()]
-    if near:
-        lon, lat, km = float(spec["lon"]), float(spec["lat"]), float(spec["geoSearchRadius"])
-        d = km / KM_PER_DEGREE
-        w = d / max(math.cos(math.radians(lat)), 1e-9)
-        out += [Criterion("BETWEEN", "lon", lon - w, lon + w), Criterion("BETWEEN", "lat", lat - d, lat + d)]
+    if "geoSearchRadius" in spec:
+        west, east, south, north = bounding_box(float(spec["lon"]), float(spec["lat"]), float(spec["geoSearchRadius"]))
+        out += [Criterion("BETWEEN", "lon", west, east), Criterion("BETWEEN", "lat", south, north)]
+    if "geoHashLength" in spec:
+        out.append(Criterion("LIKE_LEFT", "geo_code", geohash_text(float(spec["lon"]), float(spec["lat"]), int(spec["geoHashLength"]))))
     return All(out)
 
 
@@ -156,3 +185,19 @@ def positional(props: str, values: Sequence[Any]) -> All:
     if len(names) != len(values):
         raise ValueError(f"{len(names)} properties, {len(values)} values")
     return All([Criterion("IS_NULL", n) if v is None else Criterion("IN", n, v) if isinstance(v, (list, tuple, set)) else Criterion("EQ", n, v) for n, v in zip(names, values)])
+
+
+class ConditionMap(dict):
+    """A condition map made step by step: `where("age", "Ge", 18).where("name", "", "x").missing("note")`."""
+
+    def where(self, prop: str, kind: str, value: Any) -> ConditionMap:
+        self[f"{prop}_{kind}" if kind else prop] = value
+        return self
+
+    def missing(self, *props: str) -> ConditionMap:
+        self["isNullProps"] = ",".join([*filter(None, [self.get("isNullProps")]), *props])
+        return self
+
+    def present(self, *props: str) -> ConditionMap:
+        self["isNotNullProps"] = ",".join([*filter(None, [self.get("isNotNullProps")]), *props])
+        return self

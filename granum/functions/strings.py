@@ -2,19 +2,34 @@
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# The first codes in GBK's first level of the syllables that begin with each letter; it is in order of sound.
+SOUND_LETTERS = "abcdefghjklmnopqrstwxyz"
+SOUND_STARTS = [45217, 45253, 45761, 46318, 46826, 47010, 47297, 47614, 48119, 49062, 49324, 49896, 50371, 50614, 50622, 50906, 51387, 51446, 52218, 52698, 52980, 53689, 54481]
+SOUND_END = 55290
+#: The marks that clean_marks takes for "_".
+MARKS = "`~!@#$%^&*|{}':;\",/[]<>?！￥…（）—【】‘；：”“’。，、？"
+
 
 def md5_hex(s: Column) -> Column:
     """MD5 of a text, null for a blank one."""
     return F.when(F.trim(s) != "", F.md5(s))
 
 
+def without_tags(s: Column) -> Column:
+    """Text without scripts, styles and tags."""
+    s = F.regexp_replace(s, r"(?is)<(script|style)[^>]*>.*?</\1>", "")
+    return F.regexp_replace(s, r"(?s)<[^>]*>", "")
+
+
 def strip_html(s: Column) -> Column:
     """Text without scripts, styles and tags, its common entities decoded."""
-    s = F.regexp_replace(s, r"(?is)<(script|style)[^>]*>.*?</\1>", "")
-    s = F.regexp_replace(s, r"(?s)<[^>]*>", "")
+    s = without_tags(s)
     for name, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")):
         s = F.replace(s, F.lit(name), F.lit(char))
     return s
@@ -100,8 +115,6 @@ def first_upper(s: Column) -> Column:
 
 def glob_to_regex(glob: str) -> str:
     """`*` within a path step, `**` across steps (`**/x` fits x too), `?` one character."""
-    import re
-
     out, i = "", 0
     while i < len(glob):
         if glob.startswith("**/", i):
@@ -117,3 +130,174 @@ def path_passes(path: Column, include: list[str], exclude: list[str]) -> Column:
     """Excludes first; an empty include list accepts what is left."""
     hit = lambda globs: F.lit(False) if not globs else path.rlike("|".join(map(glob_to_regex, globs)))
     return ~hit(exclude) & (hit(include) if include else F.lit(True))
+
+
+def _utf16(s: Column, escape: str) -> Column:
+    """The text with each escape, a pattern whose matches end with two or four hexadecimal digits, read as UTF-16."""
+    parts = F.regexp_extract_all(s, F.lit(rf"(?s){escape}|."), F.lit(0))
+    code = lambda x: F.when(x.rlike(f"^{escape}$"), F.lpad(F.regexp_replace(x, r"^(\\u|%u|%)", ""), 4, "0")).otherwise(F.hex(F.encode(x, "UTF-16BE")))
+    return F.decode(F.unhex(F.array_join(F.transform(parts, code), "")), "UTF-16BE")
+
+
+def unescape(s: Column) -> Column:
+    """%uXXXX and %XX as the characters of these codes; what is no escape stays."""
+    return _utf16(s, "(?:%u[0-9A-Fa-f]{4}|%[0-9A-Fa-f]{2})")
+
+
+def encode_unicode(s: Column) -> Column:
+    r"""Each UTF-16 unit as \uXXXX."""
+    return F.regexp_replace(F.lower(F.hex(F.encode(s, "UTF-16BE"))), "(.{4})", r"\\u$1")
+
+
+def decode_unicode(s: Column) -> Column:
+    r"""The inverse of encode_unicode; what is no \uXXXX stays."""
+    return _utf16(s, r"\\u[0-9A-Fa-f]{4}")
+
+
+def url_encode(s: Column) -> Column:
+    return F.url_encode(s)
+
+
+def url_decode(s: Column) -> Column:
+    """Null for a text that is no URL encoding."""
+    return F.try_url_decode(s)
+
+
+def recode(s: Column, written: str, read: str) -> Column:
+    """Bytes of the text in one charset read in another; characters that it lacks become "?"."""
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else t.encode(written, "replace").decode(read, "replace") for t in texts.to_pylist()], pa.string())
+
+    return F.arrow_udf(run, "string")(s)
+
+
+def first_letters(s: Column) -> Column:
+    """Each Chinese character of GBK's first level as the letter that its sound begins with, others as they are in lower case."""
+    from bisect import bisect_right
+
+    def letter(c: str) -> str:
+        code = int.from_bytes(c.encode("gbk", "replace"), "big")
+        return SOUND_LETTERS[bisect_right(SOUND_STARTS, code) - 1] if SOUND_STARTS[0] <= code < SOUND_END else c
+
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else "".join(map(letter, t.lower())) for t in texts.to_pylist()], pa.string())
+
+    return F.arrow_udf(run, "string")(s)
+
+
+def connect(*parts: Column) -> Column:
+    """The parts that aren't blank, a space behind each."""
+    return F.concat(*[F.when(F.trim(p) != "", F.concat(p, F.lit(" "))).otherwise(F.lit("")) for p in parts])
+
+
+def matches(s: Column, pattern: str) -> Column:
+    """Whether the whole text matches; null doesn't."""
+    return F.coalesce(s.rlike(f"^(?:{pattern})$"), F.lit(False))
+
+
+def is_digits(s: Column) -> Column:
+    return matches(s, "[0-9]+")
+
+
+def is_blank(s: Column) -> Column:
+    return F.coalesce(F.trim(s) == "", F.lit(True))
+
+
+def join_items(items: Column, sep: str = ",") -> Column:
+    """Items as text with a separator between them; nulls are left out."""
+    return F.array_join(F.transform(items, lambda x: x.cast("string")), sep)
+
+
+def split_by(s: Column, pattern: str, ignore_case: bool = True) -> Column:
+    """Parts between matches of a pattern; empty ones at the end are left out."""
+    parts = F.split(s, f"(?i){pattern}" if ignore_case else pattern)
+    last = F.array_max(F.transform(parts, lambda x, i: F.when(x != "", i + 1).otherwise(0)))
+    return F.slice(parts, 1, F.greatest(last, F.lit(1)))
+
+
+def query_parameters(url: Column) -> Column:
+    """What stands behind "?" of a URL, as a map."""
+    return parse_pairs(F.regexp_extract(url, r"\?([^#]*)", 1))
+
+
+def all_matches(s: Column, pattern: str) -> Column:
+    return F.regexp_extract_all(s, F.lit(pattern), F.lit(0))
+
+
+def after_marks(s: Column, *marks: str) -> Column:
+    """The text behind the first of each mark, one after another; a mark that is missing changes nothing."""
+    for m in marks:
+        s = F.when(F.instr(s, m) > 0, F.substring(s, F.instr(s, m) + F.lit(1), F.length(s))).otherwise(s)
+    return s
+
+
+def replace_text(s: Column, pattern: str, by: str) -> Column:
+    """Matches in any case replaced."""
+    return F.regexp_replace(s, f"(?i){pattern}", by)
+
+
+def replace_between(s: Column, start: str, end: str, by: str) -> Column:
+    """Each stretch from `start` to the next `end`, both included, replaced."""
+    return F.regexp_replace(s, rf"(?s)\Q{start}\E.*?\Q{end}\E", by)
+
+
+def without_blanks(s: Column) -> Column:
+    return F.regexp_replace(s, r"\s+", "")
+
+
+def plain_brackets(s: Column) -> Column:
+    return F.translate(s, "（）", "()")
+
+
+def clean_marks(s: Column) -> Column:
+    """Punctuation and backslashes as "_"."""
+    return F.replace(F.trim(F.translate(s, MARKS, "_" * len(MARKS))), F.lit("\\"), F.lit("_"))
+
+
+def clean_code(s: Column) -> Column:
+    return F.regexp_replace(s, "[^a-zA-Z0-9]", "_")
+
+
+def padded(s: Column, left: str = "%", right: str = "%") -> Column:
+    """The text with marks at its ends, as for LIKE."""
+    return F.concat(F.lit(left), s, F.lit(right))
+
+
+def repeated(s: Column, n: int) -> Column:
+    return F.repeat(s, n)
+
+
+def format_number(x: Column, decimals: int) -> Column:
+    """Rounded half up, without grouping."""
+    return F.round(x.cast("decimal(38,18)"), decimals).cast(f"decimal(38,{decimals})").cast("string")
+
+
+def positive_text(x: Column) -> Column:
+    """A number over 0 as text, "" for others, null for null."""
+    return F.when(x > 0, x.cast("string")).when(x.isNotNull(), "")
+
+
+def money_text(x: Column) -> Column:
+    """"" for 0, whole amounts without a fraction, others as they are."""
+    return F.when(x == 0, "").when(x == F.floor(x), F.floor(x).cast("string")).otherwise(x.cast("string"))
+
+
+def number_or(s: Column, kind: str, default: float = 0) -> Column:
+    """The number that a text names, the default for others."""
+    return F.coalesce(F.trim(s).try_cast(kind), F.lit(default).cast(kind))
+
+
+def contains_any(s: Column, finds: list[str]) -> Column:
+    hits = [F.contains(s, F.lit(f)) for f in finds]
+    return F.coalesce(F.array_max(F.array(*hits)), F.lit(False)) if hits else F.lit(False)
+
+
+def is_one_of(s: Column, items: list[str]) -> Column:
+    return F.coalesce(s.isin(items), F.lit(False))
+
+
+def positions(s: Column, sub: str) -> Column:
+    """1-based places where `sub` begins, without overlap."""
+    ends = F.transform(F.split(s, re.escape(sub)), lambda x: F.length(x))
+    starts = F.transform(ends, lambda x, i: F.aggregate(F.slice(ends, F.lit(1), i + 1), F.lit(0), lambda a, y: a + y) + i * len(sub) + 1)
+    return F.slice(starts, F.lit(1), F.greatest(F.size(starts) - 1, F.lit(0)))

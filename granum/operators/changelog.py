@@ -2,15 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def replay(log: DataFrame, key: str, sequence: str, op: str, removed: str, values: list[str], after: int | None = None) -> DataFrame:
-    """State after the log: per key the values of its last entry, keys whose last entry removes them left out. Combined before the shuffle."""
+    """State after the log: per key the values of its last entry, keys whose last entry removes them left out. Combined before the shuffle.
+
+    With `after` only entries of a higher sequence are read: what follows a high-water mark.
+    """
     log = log if after is None else log.where(F.col(sequence) > after)
-    last = log.groupBy(key).agg(F.max_by(F.struct(op, *values), sequence).alias("x"))
-    return last.where(F.col(f"x.{op}") != removed).select(key, *[F.col(f"x.{v}").alias(v) for v in values])
+    last = log.groupBy(key).agg(F.max_by(F.struct(*dict.fromkeys([op, *values])), sequence).alias("x"))
+    return last.where(F.col(f"x.{op}") != removed).select(key, *[F.col(f"x.{v}").alias(v) for v in dict.fromkeys(values)])
+
+
+def intact_prefix(log: DataFrame, sequence: str, intact: Column) -> DataFrame:
+    """Entries before the first one that is damaged; replay stops there."""
+    bad = log.where(~F.coalesce(intact, F.lit(False))).agg(F.min(sequence).alias("_bad"))
+    return log.crossJoin(F.broadcast(bad)).where(F.col("_bad").isNull() | (F.col(sequence) < F.col("_bad"))).drop("_bad")  # one row
+
+
+def advance_mark(events: DataFrame, at: str, acked: Column, mark: int) -> DataFrame:
+    """One row: the high-water mark after acknowledged events; it never goes back."""
+    return events.where(acked).agg(F.greatest(F.coalesce(F.max(at), F.lit(mark)), F.lit(mark)).alias("mark"))
+
+
+def newer_than(files: DataFrame, at: str, mark: int) -> DataFrame:
+    return files.where(F.col(at) > mark)
 
 
 def live_values(puts: DataFrame, key: str, at: str, value: str, ttl: str, now: int) -> DataFrame:
@@ -20,25 +38,67 @@ def live_values(puts: DataFrame, key: str, at: str, value: str, ttl: str, now: i
     return last.withColumn("seconds_left", left.cast("long")).where((F.col("seconds_left") > 0) | (F.col("seconds_left") == -1)).select(key, value, "seconds_left")
 
 
-def owners(events: DataFrame, key: str, event: str, stamp: str) -> DataFrame:
-    """Who holds each key: the event of newest stamp, of equal ones the later id."""
-    return events.groupBy(key).agg(F.max_by(event, F.struct(stamp, event)).alias("owner"))
+def read_values(live: DataFrame, keys: DataFrame, key: str, value: str) -> DataFrame:
+    """Each asked key with its value and seconds left; null and -2 where it is missing or expired."""
+    out = keys.select(key).join(live, key, "left")
+    return out.select(key, value, F.coalesce("seconds_left", F.lit(-2)).cast("long").alias("seconds_left"))
 
 
-def pair_moves(deletes: DataFrame, creates: DataFrame, seconds: int, most_score: int = 10_000_000) -> DataFrame:
-    """Deletes with the create that moves them: at most `seconds` later, of the same size bucket, the lowest score first, exact ones at 0.
+def increments(log: DataFrame, key: str, sequence: str, op: str, amount: str) -> DataFrame:
+    """Counters after a log of SET, INCR and DEL: what is added since a key's last SET or DEL, to what that set."""
+    since = Window.partitionBy(key).orderBy(sequence)
+    based = log.withColumn("_g", F.count_if(F.col(op) != "INCR").over(since))
+    per = based.groupBy(key, "_g").agg(F.sum(F.when(F.col(op) == "DEL", 0).otherwise(F.col(amount))).alias("total"), F.max_by(op, sequence).alias("_last"))
+    last = per.groupBy(key).agg(F.max_by(F.struct("total", "_last"), "_g").alias("x"))
+    return last.where("x._last <> 'DEL'").select(key, F.col("x.total").alias("total"))
 
-    Both have path, at (seconds), size, mtime. score is the size difference plus 1000 times the mtime difference. Each
-    delete takes its best create and each create keeps its best delete; others stay deletes. Kinds: RENAME within one
-    folder, MOVE else, DELETE unmatched. The interval join runs on buckets of time, two of which hold any interval.
+
+def lock_holders(log: DataFrame, key: str, sequence: str, op: str, owner: str, at: str, ttl: str, now: int) -> DataFrame:
+    """Who holds each lock at `now`, by a log of ACQUIRE, RENEW and RELEASE in which only what succeeded is written; expired ones are free."""
+    last = log.groupBy(key).agg(F.max_by(F.struct(op, owner, at, ttl), sequence).alias("x")).select(key, "x.*")
+    return last.where((F.col(op) != "RELEASE") & (F.col(at) + F.col(ttl) > now)).select(key, owner, (F.col(at) + F.col(ttl) - now).cast("long").alias("seconds_left"))
+
+
+def owners(events: DataFrame, key: str, event: str, stamp: str, since: object = None) -> DataFrame:
+    """Who holds each key: the event of newest stamp, of equal ones the later id; events with a stamp under `since` have expired."""
+    live = events if since is None else events.where(F.col(stamp) >= F.lit(since))
+    return live.groupBy(key).agg(F.max_by(event, F.struct(stamp, event)).alias("owner"))
+
+
+def pair_moves(deletes: DataFrame, creates: DataFrame, seconds: int, most_score: int = 10_000_000, most_rounds: int = 20) -> DataFrame:
+    """Deletes with the create that moves them: at most `seconds` later, those of equal size and mtime first, then the lowest score.
+
+    Both have path, at (seconds), size, mtime. score is the size difference plus 1000 times the mtime difference, up to
+    `most_score`. In each round each delete asks for its best create and each create takes its best delete; who is left
+    asks again, until no pair is. Others stay deletes. Kinds: RENAME within one folder, MOVE else, DELETE unmatched.
+
+    Equal ones are paired by rank among their equals, so a bulk move of any size makes one row for each file. The rest
+    is joined on buckets of time, size and mtime, two of which hold any difference that `most_score` allows.
     """
-    d = deletes.select(F.col("path").alias("from_path"), F.col("at").alias("d_at"), F.col("size").alias("d_size"), F.col("mtime").alias("d_m"), F.floor(F.col("at") / seconds).alias("b"))
-    c = creates.select(F.col("path").alias("to_path"), F.col("at").alias("c_at"), F.col("size").alias("c_size"), F.col("mtime").alias("c_m"), F.explode(F.array(F.floor(F.col("at") / seconds), F.floor(F.col("at") / seconds) - 1)).alias("b"))
+    from granum.sources.tables import settled
+
+    d = settled(deletes.select(F.col("path").alias("from_path"), F.col("at").alias("d_at"), F.col("size").alias("d_size"), F.col("mtime").alias("d_m")))
+    c = settled(creates.select(F.col("path").alias("to_path"), F.col("at").alias("c_at"), F.col("size").alias("c_size"), F.col("mtime").alias("c_m")))
+    in_time = (F.col("c_at") >= F.col("d_at")) & (F.col("c_at") - F.col("d_at") <= seconds)
+    rank = lambda x, *by: F.row_number().over(Window.partitionBy(f"{x}_size", f"{x}_m").orderBy(*by))
+    equal = d.withColumn("_r", rank("d", "d_at", "from_path")).join(c.withColumn("_q", rank("c", "c_at", "to_path")), (F.col("d_size") == F.col("c_size")) & (F.col("d_m") == F.col("c_m")) & (F.col("_r") == F.col("_q")) & in_time)
+    paired = settled(equal.select("from_path", "d_at", "to_path", "c_at", F.lit(0).cast("long").alias("score")))
+    near = lambda name, width: [F.floor(F.col(name) / width), F.floor(F.col(name) / width) + 1, F.floor(F.col(name) / width) - 1]
+    widths = {"at": seconds + 1, "size": most_score + 1, "m": most_score // 1000 + 1}
     score = F.abs(F.col("d_size") - F.col("c_size")) + 1000 * F.abs(F.col("d_m") - F.col("c_m"))
-    pairs = d.join(c, "b").where((F.col("c_at") >= F.col("d_at")) & (F.col("c_at") - F.col("d_at") <= seconds)).withColumn("score", score).where(F.col("score") <= most_score)
-    best = pairs.withColumn("n", F.row_number().over(Window.partitionBy("from_path", "d_at").orderBy("score", "c_at", "to_path"))).where("n = 1")
-    best = best.withColumn("n", F.row_number().over(Window.partitionBy("to_path", "c_at").orderBy("score", "d_at", "from_path"))).where("n = 1")
-    out = d.join(best.select("from_path", "d_at", "to_path", "score"), ["from_path", "d_at"], "left")
+    for _ in range(most_rounds):
+        left_d = d.join(paired, ["from_path", "d_at"], "left_anti").select("*", *[near(f"d_{x}", w)[0].alias(f"_{x}") for x, w in widths.items()])
+        left_c = c.join(paired, ["to_path", "c_at"], "left_anti")
+        for x, w in widths.items():
+            left_c = left_c.withColumn(f"_{x}", F.explode(F.array(*near(f"c_{x}", w))))
+        pairs = left_d.join(left_c, ["_at", "_size", "_m"]).where(in_time).withColumn("score", score).where(F.col("score") <= most_score)
+        best = pairs.withColumn("n", F.row_number().over(Window.partitionBy("from_path", "d_at").orderBy("score", "c_at", "to_path"))).where("n = 1")
+        best = best.withColumn("n", F.row_number().over(Window.partitionBy("to_path", "c_at").orderBy("score", "d_at", "from_path"))).where("n = 1")
+        best = settled(best.select("from_path", "d_at", "to_path", "c_at", F.col("score").cast("long").alias("score")))
+        if best.isEmpty():
+            break
+        paired = settled(paired.union(best))
+    out = d.join(paired.select("from_path", "d_at", "to_path", "score"), ["from_path", "d_at"], "left")
     folder = lambda p: F.regexp_extract(p, r"^(.*)/[^/]*$", 1)
     kind = F.when(F.col("to_path").isNull(), "DELETE").when(folder("from_path") == folder("to_path"), "RENAME").otherwise("MOVE")
     return out.select("from_path", "to_path", "score", kind.alias("kind"))

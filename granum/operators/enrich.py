@@ -2,20 +2,36 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def lookup(left: DataFrame, target: DataFrame, on: tuple[str, str], take: dict[str, str], order: str | None = None) -> DataFrame:
+def lookup(left: DataFrame, target: DataFrame, on: tuple[str, str], take: dict[str, str], order: str) -> DataFrame:
     """Columns `take` (source to new name) of the target row with an equal key; unmatched rows and null keys stay with nulls.
 
-    Of several target rows the last non-null value by `order` (the key itself if None) wins, per column.
+    Of several target rows the last non-null value by `order` wins, per column; of equal ones in `order` the greatest.
     """
-    by = F.col(order or on[1])
-    one = target.where(F.col(on[1]).isNotNull()).groupBy(F.col(on[1]).alias("_k")).agg(*[F.max_by(F.col(s), F.when(F.col(s).isNotNull(), by)).alias(d) for s, d in take.items()])
+    last = lambda s: F.max_by(F.col(s), F.when(F.col(s).isNotNull(), F.struct(F.col(order), F.col(s))))
+    one = target.where(F.col(on[1]).isNotNull()).groupBy(F.col(on[1]).alias("_k")).agg(*[last(s).alias(d) for s, d in take.items()])
     return left.join(one, left[on[0]] == one["_k"], "left").drop("_k")
 
 
+def lookup_all(left: DataFrame, lookups: list[tuple[DataFrame, tuple[str, str], dict[str, str], str]]) -> DataFrame:
+    """Several lookups (target, keys, columns, order) on one table, each on the result so far."""
+    for target, on, take, order in lookups:
+        left = lookup(left, target, on, take, order)
+    return left
+
+
+def lookup_all_many_keys(left: DataFrame, lookups: list[tuple[DataFrame, list[tuple[str, str]], dict[str, str], list[str]]]) -> DataFrame:
+    """Several lookups by several keys (target, keys, columns, order)."""
+    for target, on, take, order in lookups:
+        left = lookup_many_keys(left, target, on, take, order)
+    return left
+
+
 def lookup_many_keys(left: DataFrame, target: DataFrame, on: list[tuple[str, str]], take: dict[str, str], order: list[str], fixed: dict[str, object] | None = None) -> DataFrame:
     """As lookup with several keys and fixed values on the target; of several rows the first by `order` wins. A null key finds nothing."""
     for c, v in (fixed or {}).items():
@@ -54,6 +70,58 @@ def attach_text(left: DataFrame, target: DataFrame, on: tuple[str, str], value:
     return left.join(t, left[on[0]] == t["_k"], "left").drop("_k").withColumn(name, F.coalesce(name, F.lit("")))
 
 
+def attach_text_through(left: DataFrame, bridge: DataFrame, target: DataFrame, left_key: tuple[str, str], target_key: tuple[str, str], value: str, name: str, sep: str = ",") -> DataFrame:
+    """attach_text through a bridge table of pairs, each pair once."""
+    pairs = bridge.select(F.col(left_key[1]).alias("_b"), F.col(target_key[0]).alias("_t")).distinct()
+    return attach_text(left, pairs.join(target, pairs["_t"] == target[target_key[1]]), (left_key[0], "_b"), value, name, sep)
+
+
+class Relation(NamedTuple):
+    """What a table declares of another: kind is one or many, or through with a bridge (table, its key, its target key)."""
+
+    name: str
+    kind: str
+    target: DataFrame
+    on: tuple[str, str]
+    fields: list[str]
+    order: str
+    bridge: tuple[DataFrame, str, str] | None = None
+
+
+def check_relations(table: DataFrame, relations: list[Relation]) -> list[str]:
+    """What is wrong with the declarations: names given twice or taken, kinds, columns that aren't there, types of keys that differ."""
+    found, names = [], set(table.columns)
+    for r in relations:
+        wrong = [] if r.name not in names else ["name is taken"]
+        names.add(r.name)
+        wrong += [] if r.kind in ("one", "many", "through") else [f"kind {r.kind}"]
+        wrong += [f"no column {c}" for c in [r.on[0]] if c not in table.columns]
+        wrong += [f"target has no column {c}" for c in [r.on[1], r.order, *r.fields] if c not in r.target.columns]
+        if (r.kind == "through") != (r.bridge is not None):
+            wrong.append("a bridge goes with through alone")
+        elif r.bridge is not None:
+            wrong += [f"bridge has no column {c}" for c in r.bridge[1:] if c not in r.bridge[0].columns]
+        elif not wrong and dict(table.dtypes)[r.on[0]] != dict(r.target.dtypes)[r.on[1]]:
+            wrong.append("keys differ in type")
+        found += [f"{r.name}: {w}" for w in wrong]
+    return found
+
+
+def with_relations(table: DataFrame, relations: list[Relation]) -> DataFrame:
+    """The table with all of its declared relations: a struct for one, an array of structs in order for many."""
+    if wrong := check_relations(table, relations):
+        raise ValueError("; ".join(wrong))
+    for r in relations:
+        if r.kind == "one":
+            table = attach_one(table, r.target.select(r.on[1], *[f for f in r.fields if f != r.on[1]]), r.on, r.name)
+        elif r.kind == "many":
+            table = attach_many(table, r.target, r.on, r.name, r.fields, r.order)
+        else:
+            bridge, key, target_key = r.bridge
+            table = attach_through(table, bridge, r.target, (r.on[0], key), (target_key, r.on[1]), r.name, r.fields, r.order)
+    return table
+
+
 def attach_map(left: DataFrame, target: DataFrame, on: tuple[str, str], key: str, value: str, name: str) -> DataFrame:
     """Distinct keys of the target with the value of the greatest, as a map."""
     per = target.groupBy(F.col(on[1]).alias("_k"), F.col(key).alias("_mk")).agg(F.max(value).alias("_mv"))

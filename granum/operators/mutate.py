@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -29,15 +29,52 @@ def delete_ids(table: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return table.join(ids.select(key), key, "left_anti")
 
 
+def numbered_rows(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """rows with their 0-based place in `order`; equal ones follow a hash of the row.
+
+    Rows are dealt by ranges and checkpointed with the number of their range, so that neither adaptive planning nor a
+    retry can count them otherwise than they lie; each range is counted, then numbered from its offset.
+    """
+    from granum.sources.tables import settled
+
+    tie = F.xxhash64(*[F.col(c) for c in rows.columns if not rows.schema[c].dataType.simpleString().startswith(("map", "variant"))])
+    ranges = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = settled(rows.withColumn("_t", tie).repartitionByRange(ranges, *order, "_t").withColumn("_p", F.spark_partition_id()))
+    sizes = placed.groupBy("_p").count()
+    before = sizes.select("_p", F.coalesce(F.sum("count").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))  # one row a range
+    n = F.row_number().over(Window.partitionBy("_p").orderBy(*order, "_t"))
+    return placed.join(F.broadcast(before), "_p").withColumn(name, F.col("_b") + n - 1).drop("_p", "_b", "_t")
+
+
 def allocate_ids(rows: DataFrame, first: int, order: str, key: str = "id") -> DataFrame:
-    """Ids from `first` on in `order`, by ranges: each sorted partition is counted, then numbered from its offset."""
-    from pyspark.sql import Window
-
-    sorted_rows = rows.repartitionByRange(order).withColumn("_p", F.spark_partition_id())
-    sizes = sorted_rows.groupBy("_p").count()
-    before = sizes.select("_p", F.coalesce(F.sum("count").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))  # one row a partition
-    n = F.row_number().over(Window.partitionBy("_p").orderBy(order))
-    return sorted_rows.join(F.broadcast(before), "_p").withColumn(key, F.lit(first) + F.col("_b") + n - 1).drop("_p", "_b")
+    """Ids from `first` on in `order`, without gaps."""
+    return numbered_rows(rows, [F.col(order)], key).withColumn(key, F.col(key) + first)
+
+
+def mark_deleted(table: DataFrame, ids: DataFrame, key: str, flag: str) -> DataFrame:
+    """The flag set to true on the rows of these ids; they stay in the table."""
+    hit = ids.select(F.col(key), F.lit(True).alias("_hit")).distinct()
+    out = table.join(hit, key, "left")
+    old = F.col(flag) if flag in table.columns else F.lit(False)
+    return out.withColumn(flag, F.col("_hit").isNotNull() | F.coalesce(old, F.lit(False))).select(*table.columns, *([] if flag in table.columns else [flag]))
+
+
+def update_ids(table: DataFrame, ids: DataFrame, key: str, sets: dict[str, Any]) -> DataFrame:
+    """Columns set, nulls too, on the rows of these ids."""
+    hit = ids.select(F.col(key), F.lit(True).alias("_hit")).distinct()
+    out = table.join(hit, key, "left")
+    return out.select(*[F.when(F.col("_hit"), F.lit(sets[c])).otherwise(F.col(c)).alias(c) if c in sets else F.col(c) for c in table.columns])
+
+
+def merge_counts(table: DataFrame, changes: DataFrame, key: str) -> DataFrame:
+    """One row: how many of the changes update a row of the table and how many insert one."""
+    known = table.select(F.col(key), F.lit(1).alias("_known")).distinct()
+    return changes.join(known, key, "left").agg(F.count("_known").alias("updated"), F.count_if(F.col("_known").isNull()).alias("inserted"))
+
+
+def remove_with_relations(table: DataFrame, links: DataFrame, ids: DataFrame, key: str, link_key: str) -> tuple[DataFrame, DataFrame]:
+    """The table and its link table without these ids."""
+    return delete_ids(table, ids, key), links.join(ids.select(F.col(key).alias(link_key)), link_key, "left_anti")
 
 
 def violations(table: DataFrame, rules: dict[str, dict[str, Any]]) -> Column:

@@ -35,6 +35,17 @@ def neighbours(df: DataFrame, key: str, at: Any) -> DataFrame:
     )
 
 
+def nth(df: DataFrame, key: str, n: int) -> DataFrame:
+    """The row of 0-based rank n in order of key."""
+    return df.orderBy(key).offset(n).limit(1)
+
+
+def index_of(df: DataFrame, key: str, wanted: Any) -> DataFrame:
+    """One row: the 0-based rank of a key, -1 if it isn't there. Counted, without a sort."""
+    c = F.col(key)
+    return df.agg(F.when(F.coalesce(F.bool_or(c == F.lit(wanted)), F.lit(False)), F.count_if(c < F.lit(wanted))).otherwise(-1).cast("long").alias("rank"))
+
+
 def as_of(left: DataFrame, right: DataFrame, by: str, at: str, value: str, name: str) -> DataFrame:
     """The right table's latest value at or before each left row's time, per group `by`: one shuffle of both sides, no join of pairs."""
     kind = right.schema[value].dataType

@@ -2,31 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from granum import entity_queries, function_queries, monitor_queries  # noqa: F401  (they register their queries)
 from granum.functions import bits, dates, strings
-from granum.functions.predicates import EMBEDDED, WIRE, All, AnyOf, Criterion, conditions, positional
+from granum.functions.predicates import EMBEDDED, WIRE, All, Criterion, conditions, positional
 from granum.operators import changelog, enrich, metrics, mutate, ordered
 from granum.plans.query import Query, list_ids
-from granum.sources.tables import content_keys, keys_with_value, overlay_value, table
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str):
-    def add(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
-        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return f(lambda name: table(spark, sf_dir, name))
-
-        QUERIES[f.__name__] = run
-        ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
+from granum.registry import ORACLE_SQL, QUERIES, query  # noqa: F401
+from granum.sources.tables import content_keys, keys_with_value, overlay_value
 
 
 def _with_nulls(t) -> DataFrame:
@@ -129,12 +114,12 @@ def top_lines(t):
 
 @query("SELECT s_suppkey, n_name AS nation, n_regionkey AS region FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey")
 def lookup_nation(t):
-    return enrich.lookup(t("supplier"), t("nation"), ("s_nationkey", "n_nationkey"), {"n_name": "nation", "n_regionkey": "region"}).select("s_suppkey", "nation", "region")
+    return enrich.lookup(t("supplier"), t("nation"), ("s_nationkey", "n_nationkey"), {"n_name": "nation", "n_regionkey": "region"}, "n_nationkey").select("s_suppkey", "nation", "region")
 
 
 @query("SELECT d.doc_id, quality, toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
 def lookup_partial(t):
-    return enrich.lookup(t("documents").select("doc_id"), t("labels"), ("doc_id", "doc_id"), {"quality": "quality", "toxic": "toxic"})
+    return enrich.lookup(t("documents").select("doc_id"), t("labels"), ("doc_id", "doc_id"), {"quality": "quality", "toxic": "toxic"}, "doc_id")
 
 
 @query("""SELECT o_orderkey, l_partkey AS part, l_quantity AS qty FROM orders LEFT JOIN
@@ -324,7 +309,7 @@ def cube_parts(t):
 
 @query("SELECT user_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS k FROM events) WHERE k = 1 AND event_type <> 'error'")
 def replay_log(t):
-    return changelog.replay(t("events"), "user_id", "event_id", "event_type", "error", ["value"]).join(t("events").groupBy("user_id").agg(F.max_by("event_type", "event_id").alias("event_type")), "user_id").select("user_id", "event_type", "value")
+    return changelog.replay(t("events"), "user_id", "event_id", "event_type", "error", ["event_type", "value"])
 
 
 @query("""WITH p AS (SELECT user_id, epoch_ms(ts) // 1000 AS put_at, value, CASE WHEN event_id % 3 = 0 THEN -1 ELSE 86400 * (event_id % 20) END AS ttl, row_number() OVER (PARTITION BY user_id ORDER BY epoch_ms(ts) // 1000 DESC) AS k FROM events)
@@ -391,9 +376,9 @@ def string_functions(t):
     return t("part").select("p_partkey", strings.md5_hex(n).alias("m"), strings.shorten(n, 10).alias("short"), strings.mask(n, 2, 6).alias("masked"), strings.only_digits(F.col("p_type")).alias("digits"), strings.first_upper(n).alias("first"), strings.is_letters(F.col("p_brand")).alias("letters"))
 
 
-@query("SELECT page_id, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1) AS host, lower(regexp_extract(url, '\\.([^./\\\\]+)$', 1)) AS ext, length(regexp_replace(html, '<[^>]*>', '', 'g')) > 0 AS has_text FROM pages")
+@query("SELECT page_id, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1) AS host, lower(regexp_extract(url, '\\.([^./\\\\]+)$', 1)) AS ext, regexp_replace(regexp_replace(html, '(?is)<(?:script[^>]*>.*?</script|style[^>]*>.*?</style)>', '', 'g'), '<[^>]*>', '', 'g') AS marked FROM pages")
 def url_functions(t):
-    return t("pages").select("page_id", strings.host_of(F.col("url")).alias("host"), strings.extension_of(F.col("url")).alias("ext"), (F.length(strings.strip_html(F.col("html"))) > 0).alias("has_text"))
+    return t("pages").select("page_id", strings.host_of(F.col("url")).alias("host"), strings.extension_of(F.col("url")).alias("ext"), strings.without_tags(F.col("html")).alias("marked"))
 
 
 @query("SELECT o_orderkey, date_diff('day', o_orderdate::DATE, DATE '1998-01-01') AS days, (date_trunc('week', o_orderdate)::DATE)::VARCHAR AS week, ((o_orderdate::DATE + INTERVAL 1 MONTH)::DATE)::VARCHAR AS next, month(o_orderdate)::INT AS m FROM orders")
@@ -415,8 +400,8 @@ def json_values(t):
 
 @query("""SELECT event_id, 100 + CASE event_type WHEN 'error' THEN 50 WHEN 'purchase' THEN 20 ELSE 0 END + CASE WHEN value > 80 THEN 10 ELSE 0 END AS score FROM events""")
 def risk_scores(t):
-    kind = F.when(F.col("event_type") == "error", 50).when(F.col("event_type") == "purchase", 20).otherwise(0)
-    return t("events").select("event_id", (F.lit(100) + kind + F.when(F.col("value") > 80, 10).otherwise(0)).cast("int").alias("score"))
+    kind = F.col("event_type")
+    return t("events").select("event_id", metrics.risk_score(100, [(kind == "error", 50), (kind == "purchase", 20), (F.col("value") > 80, 10)]).alias("score"))
 
 
 @query("SELECT * FROM (SELECT 'order' AS feed, o_orderkey AS id, epoch_ms(o_orderdate) AS at_ms FROM orders UNION ALL SELECT 'ship', l_orderkey * 10 + l_linenumber, epoch_ms(l_shipdate) FROM lineitem) ORDER BY at_ms DESC, feed, id LIMIT 100")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,3 +42,71 @@ def evolve(old: DataFrame, schema: StructType, defaults: dict[str, object]) -> D
 
 def schema_digest(schema: StructType) -> str:
     return hashlib.sha256(schema.json().encode()).hexdigest()
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df checkpointed in the folder of spark.checkpoint.dir, so that what depends on where rows lie can't change; only local mode does without that setting."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if folder is None and sc.master.startswith("local") and not sc.master.startswith("local-cluster"):
+            folder = tempfile.mkdtemp(prefix="granum-checkpoint-")
+        if folder is None:
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder)
+    return df.checkpoint(eager=True)
+
+
+def register_schema(registry: DataFrame, name: str, schema: StructType) -> DataFrame:
+    """The registry (name, version, digest, json) with a schema as the next version of its name, unless it is the latest already."""
+    spark = registry.sparkSession
+    new = spark.createDataFrame([(name, schema_digest(schema), schema.json())], "name string, digest string, json string")
+    latest = registry.where(F.col("name") == name).agg(F.coalesce(F.max("version"), F.lit(0)).alias("v"), F.max_by("digest", "version").alias("d"))
+    fresh = new.crossJoin(F.broadcast(latest)).where("not digest <=> d")  # one row
+    return registry.unionByName(fresh.select("name", (F.col("v") + 1).alias("version"), "digest", "json"))
+
+
+def put_values(store: DataFrame, puts: DataFrame, key: str, at: str) -> DataFrame:
+    """Keyed values after puts: of several for a key the latest by `at` counts."""
+    last = puts.groupBy(key).agg(F.max_by(F.struct(*[c for c in puts.columns if c != key]), at).alias("_x"))
+    last = last.select(key, *[F.col(f"_x.{c}").alias(c) for c in store.columns if c != key])
+    return store.join(last.select(key), key, "left_anti").unionByName(last)
+
+
+def contains_key(store: DataFrame, key: str, wanted: object) -> DataFrame:
+    return store.where(F.col(key) == F.lit(wanted)).limit(1).agg((F.count("*") > 0).alias("found"))
+
+
+def text_dictionary(values: DataFrame, value: str, first: int = 1) -> DataFrame:
+    """Distinct texts with whole-number ids in order of text, and how many rows hold each."""
+    from granum.operators.mutate import numbered_rows
+
+    counted = values.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("text")).agg(F.count("*").alias("refs"))
+    return numbered_rows(counted, [F.col("text")], "id").select((F.col("id") + first).alias("id"), "text", "refs")
+
+
+def change_references(dictionary: DataFrame, changes: DataFrame) -> DataFrame:
+    """The dictionary after retains and releases (text, by: +1 or -1); texts that none holds any more go."""
+    total = changes.groupBy("text").agg(F.sum("by").alias("_by"))
+    out = dictionary.join(total, "text", "left").withColumn("refs", F.col("refs") + F.coalesce("_by", F.lit(0)))
+    return out.where("refs > 0").select(dictionary.columns)
+
+
+def members_of(edges: DataFrame, group: str, member: str, wanted: object) -> DataFrame:
+    return edges.where(F.col(group) == F.lit(wanted)).select(member).distinct()
+
+
+def leave_group(members: DataFrame, admins: DataFrame, leaving: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Memberships and administrations without those that leave; who leaves is no administrator either."""
+    gone = leaving.select(*keys).distinct()
+    return members.join(gone, keys, "left_anti"), admins.join(gone, keys, "left_anti")
+
+
+def tagged(files: DataFrame, tags: DataFrame, file_key: str, tag: str) -> DataFrame:
+    """Files that bear a tag, by a bridge table (file_key, tag)."""
+    return files.join(tags.where(F.col("tag") == tag).select(file_key).distinct(), file_key, "left_semi")
+
+
+def tags_of(tags: DataFrame, file_key: str) -> DataFrame:
+    """Per file its tags in order."""
+    return tags.groupBy(file_key).agg(F.array_sort(F.collect_set("tag")).alias("tags"))

@@ -32,3 +32,49 @@ def once(events: DataFrame, event_id: str, at: str, late: str = "10 minutes") ->
 def into_view(changes: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
     """Batches of a change stream handed to `apply`, each exactly as often as the sink's own idempotence allows; stops when the input is read."""
     return changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def live_view(puts: DataFrame, key: str, at: str, value: str, ttl: str, late: str = "10 minutes") -> DataFrame:
+    """The last put of each key (text key, double value) while it lives, as a stream of key, value, expires: a null value says that the key has expired.
+
+    `ttl` is in seconds; a key without an end has a negative one. Time is event time, so a key expires when the
+    watermark has passed its end.
+    """
+    from collections.abc import Iterator as It
+
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    def step(k: tuple, parts: It[pd.DataFrame], state: GroupState) -> It[pd.DataFrame]:
+        if state.hasTimedOut:
+            _, _, end = state.get
+            state.remove()
+            yield pd.DataFrame({key: [k[0]], "value": [None], "expires": [pd.Timestamp(end, unit="ms")]}).astype({"value": "float64"})
+            return
+        newest, held, end = state.get if state.exists else (-1, None, -1)
+        for part in parts:
+            last = part.sort_values([at, value]).iloc[-1]
+            ms = int(last[at].timestamp() * 1000)
+            if ms >= newest:
+                newest, held, end = ms, float(last[value]), -1 if last[ttl] < 0 else ms + 1000 * int(last[ttl])
+        state.update((newest, held, end))
+        if 0 <= end <= state.getCurrentWatermarkMs():
+            state.remove()
+            held = None
+        elif end >= 0:
+            state.setTimeoutTimestamp(end)
+        yield pd.DataFrame({key: [k[0]], "value": [held], "expires": [pd.Timestamp(end, unit="ms") if end >= 0 else pd.NaT]}).astype({"value": "float64"})
+
+    schema = f"{key} string, value double, expires timestamp"
+    rows = puts.withWatermark(at, late).select(F.col(key).cast("string").alias(key), at, F.col(value).cast("double").alias(value), F.col(ttl).cast("long").alias(ttl))
+    return rows.groupBy(key).applyInPandasWithState(step, schema, "newest long, value double, expires long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def path_owners(events: DataFrame, path: str, event: str, at: str, late: str = "5 minutes") -> DataFrame:
+    """Who holds each path, as a view that streams update: the event of newest time, of equal ones the later id."""
+    return events.withWatermark(at, late).groupBy(path).agg(F.max_by(event, F.struct(at, event)).alias("owner"))
+
+
+def stop_tagged(spark: SparkSession, tag: str) -> list[str]:
+    """Cancel the running work of this session that bears a tag (spark.addTag); asking again does no harm."""
+    return spark.interruptTag(tag)

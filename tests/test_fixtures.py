@@ -121,3 +121,92 @@ def test_streams(spark, tmp_path):
     q = events.windowed(stream, "ts", "kind", "value", "1 hour").writeStream.outputMode("update").foreachBatch(lambda b, i: out.extend((r.kind, r.n, r.total) for r in b.collect()))
     q.option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start().awaitTermination()
     assert ("a", 3, 4.0) in out and ("b", 1, 3.0) in out
+
+
+def test_wire_refuses_null_operands(people):
+    for op in ("EQ", "NE", "GT", "LE", "LIKE", "BETWEEN"):
+        with pytest.raises(ValueError):
+            Criterion(op, "age").expr(WIRE)
+    with pytest.raises(ValueError):
+        Criterion("NEAR", "age", 1).expr(EMBEDDED)
+    with pytest.raises(ValueError):
+        Criterion("EQ", "@composite:age,name", 1).expr(WIRE)
+
+
+def test_cancelled_chunks(people):
+    asked = iter([True, True, False])
+    assert [([r.id for r in rows], last) for rows, last in Query().sort("id").chunks(people, 1, go_on=lambda: next(asked))] == [([1], False), ([2], True)]
+
+
+def test_stop_tagged(spark):
+    spark.addTag("mine")
+    assert events.stop_tagged(spark, "nobody") == [] and spark.range(3).count() == 3
+    spark.removeTag("mine")
+
+
+def test_lookup_of_duplicates(spark):
+    from granum.operators import enrich
+
+    left = spark.createDataFrame([(1,), (2,), (None,)], "k int")
+    target = spark.createDataFrame([(1, 1, "a", None), (1, 2, None, 5), (1, 0, "z", 7), (None, 1, "n", 1)], "k int, at int, x string, y int")
+    got = {r.k: (r.x, r.y) for r in enrich.lookup(left, target, ("k", "k"), {"x": "x", "y": "y"}, "at").select(left["k"], "x", "y").collect()}
+    assert got == {1: ("a", 5), 2: (None, None), None: (None, None)}
+
+
+def test_allocated_ids_of_ties(spark):
+    rows = spark.range(1000).selectExpr("id % 3 as o", "id as v").repartition(7)
+    got = sorted((r.id, r.o) for r in mutate.allocate_ids(rows, 10, "o").collect())
+    assert [i for i, _ in got] == list(range(10, 1010)) and [o for _, o in got] == sorted(o for _, o in got)
+    assert mutate.allocate_ids(rows.limit(0), 1, "o").count() == 0
+
+
+def test_bulk_move(spark):
+    """A thousand equal files moved at once make a thousand pairs; who loses its best create takes the next."""
+    d = spark.range(1000).selectExpr("concat('/a/', id) as path", "100L as at", "7L as size", "1L as mtime")
+    c = spark.range(1000).selectExpr("concat('/b/', id) as path", "101L as at", "7L as size", "1L as mtime")
+    got = changelog.pair_moves(d, c, 2).collect()
+    assert len({r.to_path for r in got}) == 1000 and {r.kind for r in got} == {"MOVE"} and {r.score for r in got} == {0}
+    d = spark.createDataFrame([("/a/1", 100, 10, 1), ("/a/2", 100, 11, 1)], "path string, at long, size long, mtime long")
+    c = spark.createDataFrame([("/a/3", 101, 12, 1), ("/a/4", 101, 30, 1)], "path string, at long, size long, mtime long")
+    assert {r.from_path: (r.to_path, r.score) for r in changelog.pair_moves(d, c, 2).collect()} == {"/a/2": ("/a/3", 1), "/a/1": ("/a/4", 20)}
+
+
+def test_more_strings(spark):
+    row = spark.range(1).select(
+        strings.unescape(F.lit("a%u4e2d%41%zz")).alias("a"), strings.decode_unicode(F.lit("x\\u4e2d\\ud83d\\ude00")).alias("b"), strings.encode_unicode(F.lit("é中")).alias("c"), strings.first_letters(F.lit("中国abC")).alias("d"),
+        strings.recode(F.lit("中a"), "gbk", "gbk").alias("e"), strings.url_decode(F.lit("%zz")).alias("f"), strings.connect(F.lit("a"), F.lit(None).cast("string"), F.lit(" "), F.lit("b")).alias("g"),
+        strings.split_by(F.lit("1x2X3xx"), "x").alias("h"), strings.after_marks(F.lit("ab:c/d"), ":", "/", "?").alias("i"), strings.positions(F.lit("ababa"), "ba").alias("j"), strings.clean_marks(F.lit("a#b\\c！")).alias("k"),
+        strings.money_text(F.lit(2.5)).alias("l"), strings.number_or(F.lit("x"), "double", 1.5).alias("m"), strings.format_number(F.lit(2.345), 2).alias("n"), strings.strip_html(F.lit("<p>a&lt;b<script>x</script>")).alias("o"),
+        strings.is_blank(F.lit(None).cast("string")).alias("p"), strings.query_parameters(F.lit("http://a/?x=1&y=2#z")).alias("q"),
+    ).first()
+    assert tuple(row) == ("a中A%zz", "x中😀", "\\u00e9\\u4e2d", "zgabc", "中a", None, "a b ", ["1", "2", "3"], "d", [2, 4], "a_b_c_", "2.5", 1.5, "2.35", "a<b", True, {"x": "1", "y": "2"})
+
+
+def test_more_dates_and_numbers(spark):
+    texts = ["29 Feb 2024", "FEBRUARY 29, 2024", "29-Feb-2024", "Thu, 29 Feb 2024", "Feb 29, 2024", "no"]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in texts], "s string").select(dates.parse_english(F.col("s"))).collect()]
+    assert got == [dt.datetime(2024, 2, 29)] * 5 + [None]
+    t = lambda x: F.lit(x).cast("timestamp")
+    row = spark.range(1).select(dates.readable_age(t("2024-01-02 00:00:00"), t("2024-01-01 23:00:00")).alias("a"), bits.rescale(F.lit("2.345").cast("decimal(10,3)"), 2).cast("string").alias("b"), bits.rescale(F.lit("-2.345").cast("decimal(10,3)"), 2).cast("string").alias("c"), bits.from_hex(F.lit("ff")).alias("d"), bits.coerce(F.lit("x"), "int").alias("e")).first()
+    assert tuple(row) == ("1 hour", "2.35", "-2.35", None, None)
+    assert bits.geohash_text(10.40744, 57.64911, 9) == "u4pruydqq"
+
+
+def test_live_view_stream(spark, tmp_path):
+    source = tmp_path / "puts"
+    at = lambda m: dt.datetime(2024, 1, 1, 0, m)
+    for i, rows in enumerate([[("a", at(0), 1.0, 60), ("b", at(0), 2.0, -1), ("a", at(1), 3.0, 120)], [("c", at(40), 9.0, -1)], [("c", at(50), 8.0, -1)]]):
+        spark.createDataFrame(rows, "k string, ts timestamp, v double, ttl long").coalesce(1).write.mode("append").parquet(str(source))
+    df = spark.read.parquet(str(source))
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(source))
+    seen = []
+    q = events.live_view(stream, "k", "ts", "v", "ttl", "1 minute").writeStream.outputMode("append").foreachBatch(lambda b, i: seen.extend(map(tuple, b.collect())))
+    q.option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    last = {}
+    for k, v, _ in seen:
+        last[k] = v
+    assert last["b"] == 2.0 and last["c"] in (8.0, 9.0) and last["a"] is None  # a has expired
+    owners = []
+    q = events.path_owners(stream, "k", "v", "ts").writeStream.outputMode("update").foreachBatch(lambda b, i: owners.extend(map(tuple, b.collect())))
+    q.option("checkpointLocation", str(tmp_path / "d")).trigger(availableNow=True).start().awaitTermination()
+    assert ("b", 2.0) in owners and owners.count(("a", 3.0)) == 1
