@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from granum.llm.common import maybe_broadcast, saved
 
 #: A node with more neighbours is a hub: its minimum is broadcast to its edges, which stay where they are.
-HUB = 2000
+HUB = 200
 BROADCAST_HUBS = 1_000_000
 
 

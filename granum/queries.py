@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granum import entity_queries, function_queries, monitor_queries  # noqa: F401  (they register their queries)
+from granum import entity_queries, function_queries, monitor_queries, stream_queries  # noqa: F401  (they register their queries)
 from granum.functions import bits, dates, strings
 from granum.functions.predicates import EMBEDDED, WIRE, All, Criterion, conditions, positional
 from granum.operators import changelog, enrich, metrics, mutate, ordered

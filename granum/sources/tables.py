@@ -44,9 +44,9 @@ def schema_digest(schema: StructType) -> str:
     return hashlib.sha256(schema.json().encode()).hexdigest()
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """df checkpointed in the folder of spark.checkpoint.dir, so that what depends on where rows lie can't change; only local mode does without that setting."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which all executors share; only local mode does without that setting."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = sc.getConf().get("spark.checkpoint.dir")
         if folder is None and sc.master.startswith("local") and not sc.master.startswith("local-cluster"):
@@ -54,6 +54,12 @@ def settled(df: DataFrame) -> DataFrame:
         if folder is None:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df checkpointed in the shared folder, so that what depends on where rows lie can't change."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

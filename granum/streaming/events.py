@@ -34,6 +34,45 @@ def into_view(changes: DataFrame, apply: Callable[[DataFrame, int], None], check
     return changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def keep_view(changes: DataFrame, folder: str, key: str, sequence: str, checkpoint: str) -> StreamingQuery:
+    """The last entry of each key, kept as Parquet in `folder`: a version for each batch, made of the one before and the batch.
+
+    A batch that is run again writes the same version again. Removals stay as entries, so that a late entry of a lower
+    sequence can't bring a key back; read_view leaves them out.
+    """
+
+    def apply(batch: DataFrame, number: int) -> None:
+        before = _version(batch.sparkSession, folder, number - 1)
+        rows = batch if before is None else before.unionByName(batch)
+        last = rows.groupBy(key).agg(F.max_by(F.struct(*[c for c in rows.columns if c != key]), sequence).alias("_x"))
+        last.select(key, "_x.*").write.mode("overwrite").parquet(f"{folder}/v{number}")
+
+    return into_view(changes, apply, checkpoint)
+
+
+def _version(spark: SparkSession, folder: str, most: int) -> DataFrame | None:
+    """The latest version of a view up to `most`."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
+    numbers = [int(n[1:]) for n in names if n[1:].isdigit() and int(n[1:]) <= most]
+    return spark.read.parquet(f"{folder}/v{max(numbers)}") if numbers else None
+
+
+def read_view(spark: SparkSession, folder: str, op: str, removed: str) -> DataFrame | None:
+    """A kept view without the keys whose last entry removes them; None before the first batch."""
+    found = _version(spark, folder, 1 << 62)
+    return None if found is None else found.where(F.col(op) != removed)
+
+
+def collected(stream: DataFrame, mode: str, folder: str) -> DataFrame:
+    """What a stream gives for all that is there, as a table: its appended rows, or its complete result."""
+    how = "overwrite" if mode == "complete" else "append"
+    query = stream.writeStream.outputMode(mode).foreachBatch(lambda batch, _: batch.write.mode(how).parquet(f"{folder}/rows"))
+    query.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/rows")
+
+
 def live_view(puts: DataFrame, key: str, at: str, value: str, ttl: str, late: str = "10 minutes") -> DataFrame:
     """The last put of each key (text key, double value) while it lives, as a stream of key, value, expires: a null value says that the key has expired.
 

@@ -210,3 +210,19 @@ def test_live_view_stream(spark, tmp_path):
     q = events.path_owners(stream, "k", "v", "ts").writeStream.outputMode("update").foreachBatch(lambda b, i: owners.extend(map(tuple, b.collect())))
     q.option("checkpointLocation", str(tmp_path / "d")).trigger(availableNow=True).start().awaitTermination()
     assert ("b", 2.0) in owners and owners.count(("a", 3.0)) == 1
+
+
+def test_kept_view_over_batches(spark, tmp_path):
+    source = tmp_path / "log"
+    for rows in ([(1, 1, "PUT", "a"), (2, 2, "PUT", "b")], [(1, 3, "DEL", None), (3, 4, "PUT", "c")], [(1, 2, "PUT", "late"), (2, 5, "PUT", "d")]):
+        spark.createDataFrame(rows, "k long, seq long, op string, v string").coalesce(1).write.mode("append").parquet(str(source))
+    schema = spark.read.parquet(str(source)).schema
+    view, check = str(tmp_path / "view"), str(tmp_path / "check")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(source))
+    assert events.read_view(spark, view, "op", "DEL") is None
+    events.keep_view(stream, view, "k", "seq", check).awaitTermination()
+    got = lambda: {r.k: r.v for r in events.read_view(spark, view, "op", "DEL").collect()}
+    assert got() == {2: "d", 3: "c"}
+    spark.createDataFrame([(1, 9, "PUT", "back")], "k long, seq long, op string, v string").write.mode("append").parquet(str(source))
+    events.keep_view(stream, view, "k", "seq", check).awaitTermination()
+    assert got() == {1: "back", 2: "d", 3: "c"}
