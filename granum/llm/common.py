@@ -132,14 +132,15 @@ def sorted_groups(df: DataFrame, keys: list[str], make: Callable[[dict[str, np.n
     return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
 
 
-def forest(n: int, linked: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
+def forest(n: int, linked: Callable[[int, np.ndarray], np.ndarray], label: np.ndarray | None = None, asks: int | None = None) -> list[tuple[int, int]]:
     """Edges that span the components of 0..n-1, where linked(i, js) tells which of js are linked with i.
 
     Pairs whose ends are known to be connected are not asked for; all others are, so the components are exact
-    while the output stays below n edges.
+    while the output stays below n edges. Equal values in `label` say what is connected beforehand; with `asks` only
+    pairs that hold one of the first so many are asked for.
     """
-    label, edges = np.arange(n), []
-    for i in range(n - 1):
+    label, edges = np.arange(n) if label is None else label.copy(), []
+    for i in range(min(n - 1, n if asks is None else asks)):
         others = np.flatnonzero(label[i + 1 :] != label[i]) + i + 1
         if not others.size:
             continue
@@ -155,6 +156,14 @@ def forest(n: int, linked: Callable[[int, np.ndarray], np.ndarray]) -> list[tupl
 
 def written(df: DataFrame) -> DataFrame:
     """df as a Parquet table in a folder of its own under the shared folder, read again."""
-    path = f"{shared_folder(df.sparkSession)}/stage-{uuid.uuid4().hex}"
+    return stored(df)[0]
+
+
+def stored(df: DataFrame) -> tuple[DataFrame, Callable[[], object]]:
+    """As written, with a function that deletes the table. Unlike a checkpoint's, its size is known from its files: in a loop
+    of joins Spark's estimates for checkpoints grow as powers of each other."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return spark.read.schema(df.schema).parquet(path), lambda: place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)

@@ -59,8 +59,10 @@ def style(text: Column, marked: list[str] | None = None) -> Column:
 
 
 def labelled_sample(labels: DataFrame, most: int) -> DataFrame:
-    """At most `most` labelled rows, by hash of id; what classifiers are fitted on."""
-    return labels.where("doc_id is not null").dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    """At most `most` labelled rows, by hash of id; what classifiers are fitted on. Of rows that repeat an id the least counts."""
+    own = [c for c in labels.columns if c in ("quality", "toxic")]
+    one = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct(*own)).alias("_l")).select("doc_id", "_l.*")
+    return one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
 
 
 def marking_words(texts: DataFrame, flag: str, most: int = 200, least_docs: int = 5) -> list[str]:

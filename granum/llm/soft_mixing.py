@@ -13,16 +13,15 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from granum.llm.common import saved, ship
+from granum.llm.common import freed, held, saved, ship
 from granum.llm.evidence import STYLE, fit_logistic, labelled_sample, log_odds, marking_words, style
 
 DOMAINS = {"clean": "quality = 1 and toxic = 0", "toxic": "toxic = 1", "low": "quality = 0"}
-TARGETS = {"clean": 0.9, "toxic": 0.02, "low": 0.08}
+#: Shares that classifiers of a few hundred labels can tell apart: at a toxic target of 0.02 the fit for the 1,000 documents of sf0.01 took a few of them 300 times each.
+TARGETS = {"clean": 0.85, "toxic": 0.05, "low": 0.10}
 FEATURES = [*STYLE, "hit", "hit_rate"]
 SAMPLE_LABELS = 10_000
 PENALTY, LEAST_PENALTY = 5e-3, 5e-9
-#: A domain's target is lowered to so many times its present share, as no document may be repeated without end.
-MOST_REPEATS = 4.0
 
 
 def rate_at(pull: np.ndarray, domains: list[str]) -> Column:
@@ -33,8 +32,10 @@ def rate_at(pull: np.ndarray, domains: list[str]) -> Column:
     return F.greatest(F.lit(0.0), r)
 
 
-def reachable(share: np.ndarray, mass: np.ndarray, most_repeats: float) -> np.ndarray:
-    """Target shares of which none asks for more than most_repeats times what is there; the excess goes to the others in proportion."""
+def reachable(share: np.ndarray, mass: np.ndarray, most_repeats: float | None) -> np.ndarray:
+    """Target shares of which none asks for more than most_repeats times what is there; the excess goes to the others in proportion. Unchanged if that is None."""
+    if most_repeats is None:
+        return share
     held = np.zeros(len(share), bool)
     out = share.copy()
     for _ in share:
@@ -47,7 +48,7 @@ def reachable(share: np.ndarray, mass: np.ndarray, most_repeats: float) -> np.nd
     return out / out.sum()
 
 
-def fit_rates(known: DataFrame, targets: dict[str, float], most_repeats: float = MOST_REPEATS, rounds: int = 100, close: float = 1e-4) -> tuple[Column, list[float]]:
+def fit_rates(known: DataFrame, targets: dict[str, float], most_repeats: float | None = None, rounds: int = 100, close: float = 1e-4) -> tuple[Column, list[float]]:
     """The rate as an expression over p_<domain>, and the relative misses of the declared targets by domain. `known` has n_tokens and p_<domain>.
 
     Rates minimise the squared misses, weighted by 1 / present share, plus penalty * (rate - 1)^2. At the optimum a
@@ -102,17 +103,18 @@ def fit_rates(known: DataFrame, targets: dict[str, float], most_repeats: float =
     return rate_at(pull, domains), short(at[1], declared).tolist()
 
 
-def mix_softly(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE_LABELS, carry: list[str] | None = None, most_repeats: float = MOST_REPEATS) -> DataFrame:
+def mix_softly(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE_LABELS, carry: list[str] | None = None, most_repeats: float | None = None) -> DataFrame:
     """The columns `carry` of docs (all if None) with n_tokens (words), p_<domain>, rate, copies, and miss_<domain>.
 
     `copies` is rate rounded up or down by a draw that id and seed fix, with the rate as its mean. Domains are those
-    of DOMAINS over `labels` (doc_id, quality, toxic); null labels are ignored. A domain with no labelled document
-    has probability 0, and its target goes to the others in proportion, as does what is
-    beyond `most_repeats` times a domain's present share. miss_<domain>, the same on every row, is the domain's
-    expected share under the rates over its declared one, less 1; it is null for a domain without documents or target. Classifiers are fitted on at most `sample`
-    labelled rows; totals are over all documents. A null or empty text has no words and takes part without weight.
-    Repeated rows get equal rates and copies, an empty table gives an empty result; carried columns must not bear
-    the names of the new ones.
+    of DOMAINS over `labels` (doc_id, quality, toxic); null labels are ignored. A domain with no labelled document has
+    probability 0, and its target goes to the others in proportion. Targets are sought as they are declared; only if
+    `most_repeats` is given, what is beyond that many times a domain's present share goes to the others too, which
+    bounds how often documents are repeated. miss_<domain>, the same on every row, is the domain's expected share under
+    the rates over its declared one, less 1; it is null for a domain without documents or target. Classifiers are fitted
+    on at most `sample` labelled rows; totals are over all documents. A null or empty text has no words and takes part
+    without weight. Repeated rows get equal rates and copies, an empty table gives an empty result. A carried column
+    that bears the name of a new one gives way to it; other names don't matter.
 
     Shuffled: labelled texts' words, and one row of sums per task and step.
     """
@@ -128,19 +130,22 @@ def mix_softly(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | N
     fitted = {d: fit_logistic(data, y, ridge=1e-5) for d in targets if (y := np.array([float(r[d]) for r in rows])).any()}
     targets = {d: t for d, t in targets.items() if d in fitted}
 
-    seen = docs.select(*carry, F.col(id_col).alias("_id"), style(F.col(text_col), marked).alias("_f"))
     odds = {d: F.greatest(F.least(log_odds(w, FEATURES, "_f"), F.lit(30.0)), F.lit(-30.0)) for d, w in fitted.items()}
-    known = seen.select(*carry, "_id", F.col("_f.n_words").alias("n_tokens"), *[(1 / (1 + F.exp(-z))).alias(f"_{d}") for d, z in odds.items()])
+    known = docs.select(held(carry), F.col(id_col).alias("_id"), style(F.col(text_col), marked).alias("_f"))
+    known = known.select("_doc", "_id", F.col("_f.n_words").alias("n_tokens"), *[(1 / (1 + F.exp(-z))).alias(f"_{d}") for d, z in odds.items()])
     whole = sum((F.col(f"_{d}") for d in fitted), F.lit(0.0))
-    known = saved(known.select(*carry, "_id", "n_tokens", *[(F.col(f"_{d}") / whole).alias(f"p_{d}") for d in fitted]))
+    known = saved(known.select("_doc", "_id", "n_tokens", *[(F.col(f"_{d}") / whole).alias(f"p_{d}") for d in fitted]))
     rate, miss = fit_rates(known, targets, most_repeats) if targets else (F.lit(1.0), [])
     misses = [F.lit(dict(zip(targets, miss)).get(d)).cast("double").alias(f"miss_{d}") for d in DOMAINS]
     draw = F.pmod(F.xxhash64(F.lit(seed), "_id"), F.lit(1 << 30)) / float(1 << 30)
     probabilities = [F.col(f"p_{d}") if d in fitted else F.lit(0.0).alias(f"p_{d}") for d in DOMAINS]
     out = known.withColumn("rate", rate)
-    return out.select(*carry, F.col("n_tokens").cast("long").alias("n_tokens"), *probabilities, "rate", F.floor(F.col("rate") + draw).cast("int").alias("copies"), *misses)
+    new = [F.col("n_tokens").cast("long").alias("n_tokens"), *probabilities, "rate", F.floor(F.col("rate") + draw).cast("int").alias("copies"), *misses]
+    names = ["n_tokens", "rate", "copies", *[f"{x}_{d}" for d in DOMAINS for x in ("p", "miss")]]
+    return out.select(*freed(carry, names), *new)
 
 
-def take_copies(mixed: DataFrame) -> DataFrame:
-    """Each row as often as its `copies` says; rows with none go."""
-    return mixed.where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).drop("_copy")
+def take_copies(mixed: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """`columns` of each row (all if None) as often as its `copies` says; rows with none go."""
+    rows = mixed.where("copies > 0").select(held(mixed.columns if columns is None else columns), F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy"))
+    return rows.select("_doc.*")

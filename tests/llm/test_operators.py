@@ -115,7 +115,7 @@ def test_site_quality_held_out(spark):
 
 
 def test_hard_rows_sites_and_mixing(hard, labels):
-    a = site_quality.judge_sites(hard.drop("kept"), labels)
+    a = site_quality.judge_sites(hard, labels)
     assert a.count() == hard.count() and set(hard.columns) <= set(a.columns)
     assert site_quality.judge_sites(hard.limit(0), labels, carry=["doc_id"]).count() == 0
     b = soft_mixing.mix_softly(hard, labels, carry=["doc_id"]).collect()
@@ -222,7 +222,7 @@ def test_hypergeometric():
 
 
 def test_measures_brute_force(hard):
-    got = quality_rules.judge_quality(hard.drop("kept"), carry=["doc_id", "text"]).collect()
+    got = quality_rules.judge_quality(hard, carry=["doc_id", "text"]).collect()
     assert len(got) == hard.count()
     for r in got:
         t = r.text or ""
@@ -233,7 +233,7 @@ def test_measures_brute_force(hard):
         m = r.m
         assert (m.n_words, m.word_chars, m.n_symbols, m.n_dup_lines, m.n_repeat_words) == (len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in SPACE.sub("", t)), len(lines) - len(set(lines)), len(covered)), t[:40]
         assert r.base_failed == (len(w) < 20 or 100 * len(covered) > 30 * len(w)) and not (r.base_failed and r.kept)
-    assert quality_rules.judge_quality(hard.drop("kept").limit(0)).count() == 0
+    assert quality_rules.judge_quality(hard.limit(0)).count() == 0
 
 
 def test_bad_host_takes_its_documents(spark):
@@ -407,25 +407,3 @@ def test_codec_scores_are_log_probabilities(spark):
         one, many = codec.viterbi(piece_codec.MARK + t.replace(" ", piece_codec.MARK)), codec.encode_many([t, t])
         assert [np.frombuffer(m, np.int32).tolist() for m in many] == [one, one]
     assert all(len(k.encode()) <= piece_codec.BATCHED for k in codec)  # long segments aren't kept
-
-
-# the pipeline
-
-
-def test_pipeline_stages(spark):
-    import corpus_pipeline
-
-    folder = f"{DATA}/../sf0.01"
-    docs = spark.read.parquet(f"{folder}/documents.parquet")
-    label = {r.doc_id: (r.quality, r.toxic) for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
-    kept = [r.doc_id for r in corpus_pipeline.classify(spark, docs, folder).collect()]
-    assert sum(label.get(i) == (1, 0) for i in kept) > 0.97 * sum(v == (1, 0) for v in label.values())
-    once = corpus_pipeline.dedup(spark, docs.union(docs.where("doc_id = 1")), folder)
-    assert once.columns == docs.columns
-    want = {r.component_id for r in minhash_dedup.near_duplicates(docs).collect()}
-    assert sorted(r.doc_id for r in once.collect()) == sorted(want)
-    mixed = Counter(r.doc_id for r in corpus_pipeline.mix(spark, docs, folder).collect())
-    clean = [i for i, v in label.items() if v == (1, 0)]
-    assert sum(mixed[i] > 0 for i in clean) > 0.97 * len(clean)
-    coded = corpus_pipeline.pieces(spark, docs, folder)
-    assert coded.count() == docs.count()
