@@ -3,7 +3,8 @@
 The rows lie in buckets (by a hash of their id). For every bucket the numbers of its rows that go to each shard are
 drawn without replacement from what the shards still take, so that sizes come out exactly; the rows of a bucket are
 permuted and dealt by these counts, and the rows of a shard are permuted again. Every arrangement is then as likely
-as in one global shuffle, yet no task ever sees more than a bucket.
+as in one global shuffle, yet no task ever sees more than a bucket. Equal rows are numbered first, and the number counts
+as part of the row: they fall into different buckets, however many there are.
 """
 
 from __future__ import annotations
@@ -15,6 +16,10 @@ from pyspark.sql import functions as F
 from granum.llm.common import saved
 
 
+#: Equal rows that one task makes again from their count.
+COPIES = 10_000
+
+
 def hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
     """How many of n draws without replacement are good. By the exact ratios of neighbouring probabilities around the mode, for counts of any size."""
     low, high = max(0, n - bad), min(n, good)
@@ -48,17 +53,23 @@ def shard_rows(docs: DataFrame, shards: int = 8, seed: int = 42, id_col: str = "
     """Per row: id, size (UTF-8 bytes of the text and 1), text_crc32, law ("rows"), shard, slot, grown_shard (null).
 
     Row counts of shards differ by one at most; slots run from 0 without gaps in each shard; the order is a uniform
-    shuffle fixed by `seed`. A null text counts as empty. A null id is a value like any other; equal rows are told
-    apart by arbitrary order, which leaves the result as a set the same. An empty table gives an empty result;
-    other columns are ignored.
+    shuffle fixed by `seed`. A null text counts as empty. A null id is a value like any other. An empty table gives an
+    empty result; other columns are ignored.
 
-    Only counts of buckets come to the driver, at most `most_buckets`. Two shuffles carry narrow rows; texts stay.
+    Only counts of buckets come to the driver, at most `most_buckets`. Four shuffles carry narrow rows; texts stay.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
-    total = docs.count()
+    # Equal rows as one with its count, then as so many again with numbers; a large count is dealt out in parts.
+    counted = saved(rows.groupBy(id_col, "size", "text_crc32").agg(F.count("*").alias("n")))
+    numbers = lambda low, high: F.explode(F.sequence(low, high)).alias("copy")
+    few = counted.where(F.col("n") <= COPIES).select(id_col, "size", "text_crc32", numbers(F.lit(1).cast("long"), F.col("n")))
+    many = counted.where(F.col("n") > COPIES).select(id_col, "size", "text_crc32", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / COPIES))).alias("part"))
+    many = many.repartition("part", id_col, "size", "text_crc32").select(id_col, "size", "text_crc32", numbers(F.col("part") * COPIES + 1, F.least(F.col("n"), (F.col("part") + 1) * COPIES)))
+    rows = few.union(many)
+    total = counted.agg(F.sum("n")).first()[0] or 0
     n = min(max(total // bucket_rows, least_buckets), most_buckets)
-    identity = [F.col(id_col), F.col("text_crc32"), F.col("size")]
+    identity = [F.col(id_col), F.col("text_crc32"), F.col("size"), F.col("copy")]
     rows = saved(rows.withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), *identity), F.lit(n)).cast("int")))
     counts = rows.groupBy("bucket").count().orderBy("bucket").collect()
     total = sum(c["count"] for c in counts)
@@ -73,7 +84,7 @@ def shard_rows(docs: DataFrame, shards: int = 8, seed: int = 42, id_col: str = "
 
     # The second permutation: a random part of the shard, and a random order in it. Slots follow from the parts' counts.
     parts = max(n // shards, 1)
-    placed = saved(placed.select(id_col, "size", "text_crc32", "shard", F.pmod(F.xxhash64(F.lit(seed + 2), *identity), F.lit(parts)).cast("int").alias("part")))
+    placed = saved(placed.select(id_col, "size", "text_crc32", "copy", "shard", F.pmod(F.xxhash64(F.lit(seed + 2), *identity), F.lit(parts)).cast("int").alias("part")))
     by_part = placed.groupBy("shard", "part").agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = by_part.select("shard", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))

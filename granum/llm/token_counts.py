@@ -8,9 +8,10 @@ its last token and its count relative to now. Each transition carries the change
 made when first reached and kept.
 
 White space is a synchronizing symbol: it leads from any state to the first one. A chunk of text is therefore a map
-from states to (state, count) which is fixed by its piece before the first white space, the count in between, and
-its piece after the last; such maps compose associatively, and long texts are counted as chunks whose maps are
-composed by a prefix scan.
+from states to (state, count) which three things fix: what it runs on with from the state at entry (its piece before
+the first white space), the count in between, and what leads from the first state to the one at exit (its piece after
+the last white space). Such maps compose associatively. Every text is cut into chunks, whose maps are reduced pairwise
+in a tree; as only the whole text's map is asked for, no other prefixes are made.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ from granum.llm.common import ship
 FINAL = 256
 MOST_STATES = 300_000
 MOST_SEGMENTS = 400_000
+MOST_FITS = 1_000_000
 CHUNK = 1 << 16
 
 
@@ -114,6 +116,8 @@ class Transducer:
     def fit(self, last: tuple[int, ...] | None, token: tuple[int, ...]) -> bool:
         key = (last, token)
         if (known := self.fits.get(key)) is None:
+            if len(self.fits) >= MOST_FITS:
+                self.fits.clear()
             known = self.fits[key] = self.bpe((last or ()) + token) == ([last, token] if last else [token])
         return known
 
@@ -199,7 +203,7 @@ class Counter(dict):
             p = "".join(map(str.lower, p)) if "Σ" in p else p.lower()
             for w in self.words.findall(p):
                 n += self.machine.count(w.encode())
-        if len(segment) < 64:
+        if len(segment) < 64:  # longer ones hardly recur
             self[segment] = n
         return n
 
@@ -222,18 +226,15 @@ class Counter(dict):
         middle = a.tail + b.head
         return Chunk(a.head, a.count + b.count + (self[middle] if middle else 0), b.tail)
 
-    def scan(self, chunks: list[Chunk]) -> list[Chunk]:
-        """Inclusive prefix scan by doubling: entry i becomes the map of chunks 0..i."""
-        step = 1
-        while step < len(chunks):
-            chunks = chunks[:step] + [self.compose(chunks[i - step], chunks[i]) for i in range(step, len(chunks))]
-            step *= 2
-        return chunks
+    def reduce(self, chunks: list[Chunk]) -> Chunk:
+        """The map of all chunks in a row: neighbours are composed, then neighbours of these, until one is left."""
+        while len(chunks) > 1:
+            chunks = [self.compose(*chunks[i : i + 2]) if i + 1 < len(chunks) else chunks[i] for i in range(0, len(chunks), 2)]
+        return chunks[0]
 
     def count(self, text: str, size: int = CHUNK) -> int:
-        if len(text) <= size:
-            return sum(map(self.__getitem__, self.segments(text)))
-        whole = self.scan([self.chunk(text[i : i + size]) for i in range(0, len(text), size)])[-1]
+        """The map of the text from the first state to the end of input."""
+        whole = self.reduce([self.chunk(text[i : i + size]) for i in range(0, max(len(text), 1), size)])
         return whole.count + sum(self[x] for x in (whole.head, whole.tail) if x)
 
 
