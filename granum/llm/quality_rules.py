@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from granum.llm.common import SPACE, SPACES, saved
+from granum.llm.common import SPACE, SPACES, freed, held, maybe_broadcast, saved
 
 WINDOW = 8
 SYMBOLS = "[#*$%&|<>]"
@@ -34,8 +34,9 @@ def let(value: Column, body) -> Column:
 def repeated_words(words: Column) -> Column:
     """How many words lie in a window of 8 that occurs twice or more, the first time included.
 
-    Windows are hashed to 64 bits; hashes are sorted with their places, those with an equal neighbour kept, and the
-    lengths of the union of their spans summed up. Everything is linear in the words but for two sorts.
+    Words are hashed once and windows by the hashes of their words. Only a text with equal hashes goes on: its windows
+    are sorted by hash, then by the words themselves, so that those with an equal neighbour are the repeated ones
+    whatever the hashes; the lengths of the union of their spans are summed up. All is linear but for the sorts.
     """
 
     def covered(places: Column) -> Column:  # sorted starts; each adds what the next one doesn't cover
@@ -46,19 +47,21 @@ def repeated_words(words: Column) -> Column:
             lambda acc, i: acc + F.when(i < n, F.least(F.lit(WINDOW), F.element_at(places, (i + 1).cast("int")) - F.element_at(places, i.cast("int")))).otherwise(WINDOW),
         )
 
-    def twice(sorted_windows: Column) -> Column:
-        n = F.size(sorted_windows)
-        at = lambda i: F.element_at(sorted_windows, i.cast("int"))["h"]
-        same = lambda x, i: F.coalesce((i > 0) & (at(F.greatest(i, F.lit(1))) == x["h"]), F.lit(False)) | F.coalesce((i + 2 <= n) & (at(F.least(i + 2, n)) == x["h"]), F.lit(False))
-        return F.array_sort(F.transform(F.filter(sorted_windows, same), lambda x: x["i"]))
+    def twice(windows: Column) -> Column:
+        n = F.size(windows)
+        at = lambda i: F.element_at(windows, i.cast("int"))
+        equal = lambda x, i: (at(i)["h"] == x["h"]) & (at(i)["w"] == x["w"])
+        same = lambda x, i: F.when(i > 0, equal(x, i)).otherwise(False) | F.when(i + 2 <= n, equal(x, i + 2)).otherwise(False)
+        return F.sort_array(F.transform(F.filter(windows, same), lambda x: x["i"]))
 
-    def of_hashes(hashes: Column) -> Column:
-        pairs = lambda: F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-        return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), 0).otherwise(let(pairs(), lambda s: let(twice(s), covered)))
+    def of_hashes(w: Column, hashes: Column) -> Column:
+        windows = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), F.slice(w, i + 1, WINDOW).alias("w"), i.alias("i"))))
+        return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), 0).otherwise(let(windows, lambda s: let(twice(s), covered)))
 
     def of_words(w: Column) -> Column:
-        hashes = F.transform(F.sequence(F.lit(1), F.size(w) - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(w, i, WINDOW)))
-        return F.when(F.size(w) < WINDOW + 1, 0).otherwise(let(hashes, of_hashes))
+        windows = lambda h: F.transform(F.sequence(F.lit(1), F.size(h) - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(h, i, WINDOW)))
+        hashes = let(F.transform(w, lambda x: F.xxhash64(x)), windows)
+        return F.when(F.size(w) < WINDOW + 1, 0).otherwise(let(hashes, lambda h: of_hashes(w, h)))
 
     return let(words, of_words)
 
@@ -66,22 +69,18 @@ def repeated_words(words: Column) -> Column:
 def measures(text: Column) -> dict[str, Column]:
     """The base measures of a text as columns; null counts as empty."""
     text = F.coalesce(text, F.lit(""))
-    bare = F.translate(text, SPACES, "")
-    words = F.filter(F.split(text, SPACE), lambda w: w != "")
-    lines = F.filter(F.split(text, "\n"), lambda x: F.translate(x, SPACES, "") != "")
+    words = F.array_remove(F.split(text, SPACE), "")
+    lines = F.filter(F.split(text, "\n"), lambda x: F.trim(x, F.lit(SPACES)) != "")
     return {
-        "word_chars": F.length(bare).cast("long"),
-        "n_symbols": (F.length(bare) - F.length(F.translate(bare, SYMBOLS[1:-1], ""))).cast("long"),
-        "words": let(words, lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeated_words(w).cast("long").alias("n_repeat_words"))),
+        "n_symbols": F.regexp_count(text, F.lit(SYMBOLS)).cast("long"),
+        "words": let(words, lambda w: F.struct(F.length(F.array_join(w, "")).cast("long").alias("word_chars"), F.size(w).cast("long").alias("n_words"), repeated_words(w).cast("long").alias("n_repeat_words"))),
         "lines": let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"))),
     }
 
 
-def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with a struct `m`: word_chars, n_symbols, n_words, n_repeat_words, n_lines, n_dup_lines."""
-    m = measures(F.col(text_col))
-    flat = docs.select("*", F.struct(*[c.alias(k) for k, c in m.items()]).alias("_raw"))
-    return flat.select(*docs.columns, F.struct("_raw.word_chars", "_raw.n_symbols", "_raw.words.*", "_raw.lines.*").alias("m"))
+def measured(text: Column) -> Column:
+    """A struct of measures: n_symbols, words (word_chars, n_words, n_repeat_words), lines (n_lines, n_dup_lines)."""
+    return F.struct(*[c.alias(k) for k, c in measures(text).items()])
 
 
 def host_verdicts(judged: DataFrame, host_col: str, most_rate: float) -> DataFrame:
@@ -108,21 +107,30 @@ def host_verdicts(judged: DataFrame, host_col: str, most_rate: float) -> DataFra
     return hosts.select("host", "n_docs", *[c.alias(f"rate_{r}") for r, c in rates.items()], bad.alias("host_bad"))
 
 
+#: Hosts that are rejected; beyond so many they are joined instead of broadcast.
+BROADCAST_HOSTS = 500_000
+
+
 def judge_quality(docs: DataFrame, text_col: str = "text", host_col: str = "source", most_rate: float = 0.5, carry: list[str] | None = None) -> DataFrame:
     """The columns `carry` of docs (all if None) with measures `m`, base_failed and kept, each text being measured once.
 
     kept is false for a document that fails a base rule (under 20 words, or over 30 % of words in repeated windows of
     8) and for every document of a host whose shrunk failure rate of any rule is above `most_rate`. A null or empty
-    text has no words and fails. Repeated rows are judged alike, an empty table gives an empty result, carried
-    columns stay as they are (`m`, base_failed and kept must not be among them).
+    text has no words and fails. A null host is one of its own. Repeated rows are judged alike, an empty table gives an
+    empty result. A carried column called m, base_failed or kept gives way to the new one; other names don't matter.
+
+    Rows are checkpointed with their measures, as measuring costs far more than writing; only counts by host are
+    shuffled, and the hosts that are rejected broadcast, under BROADCAST_HOSTS of them.
     """
     carry = docs.columns if carry is None else carry
-    judged = measured(docs, text_col).select(*[c for c in docs.columns if c in carry or c == host_col], "m")
+    raw = docs.select(held(carry), F.col(host_col).alias("_host"), measured(F.col(text_col)).alias("_raw"))
+    judged = raw.select("_doc", "_host", F.struct("_raw.n_symbols", "_raw.words.*", "_raw.lines.*").alias("m"))
     judged = judged.select("*", *[F.expr(_over(sql)).alias(f"fails_{r}") for r, sql in RULES.items()])
     judged = saved(judged.withColumn("base_failed", reduce(lambda a, b: a | b, [F.col(f"fails_{r}") for r in BASE])))
-    hosts = host_verdicts(judged, host_col, most_rate).select(F.col("host").alias("_host"), "host_bad")
-    out = judged.join(hosts, judged[host_col].eqNullSafe(hosts["_host"]), "left")
-    return out.select(*carry, "m", "base_failed", (~F.col("base_failed") & ~F.coalesce("host_bad", F.lit(False))).alias("kept"))
+    bad = saved(host_verdicts(judged, "_host", most_rate).where("host_bad").select(F.col("host").alias("_bad"), F.lit(True).alias("host_bad")))
+    out = judged.join(maybe_broadcast(bad, BROADCAST_HOSTS), judged["_host"].eqNullSafe(bad["_bad"]), "left")
+    kept = ~F.col("base_failed") & F.col("host_bad").isNull()
+    return out.select(*freed(carry, ["m", "base_failed", "kept"]), "m", "base_failed", kept.alias("kept"))
 
 
 def _over(sql: str) -> str:
