@@ -356,3 +356,16 @@ def mail_violations(t):
 def alternatives_twice(t):
     tree = All([AnyOf([Criterion("EQ", "l_returnflag", "R"), Criterion("GT", "l_quantity", 49.0)]), AnyOf([Criterion("EQ", "l_discount", 0.0), Criterion("EQ", "l_tax", 0.08)])])
     return t("lineitem").where(tree.expr()).select("l_orderkey", "l_linenumber")
+
+
+@query("SELECT unnest(['events', 'labels', 'lineitem', 'nation', 'orders']) AS name")
+def listed_files(t):
+    """The second page of the tables' files by name."""
+    return tables.list_files(t.spark, t.folder, 2, 5, "*.parquet").select(F.regexp_extract("path", r"([^/]+)\.parquet", 1).alias("name"))
+
+
+@query("SELECT true AS equal_to_itself, false AS equal_without_a_column")
+def schema_digests(t):
+    n = t("nation")
+    own, other = tables.schema_digest(n.schema), tables.schema_digest(n.drop("n_name").schema)
+    return t.spark.createDataFrame([(own == tables.schema_digest(t("nation").schema), own == other)], "equal_to_itself boolean, equal_without_a_column boolean")

@@ -124,3 +124,9 @@ GLOBS = (["**/en/**", "*.html"], ["https://*/**"])
 def glob_filter(t):
     include, exclude = GLOBS
     return t("pages").select("page_id", strings.path_passes(C("url"), include, exclude).alias("passes"), strings.path_passes(C("url"), [], exclude).alias("unless_secure"))
+
+
+@query("SELECT p_partkey, p_partkey % 3 = 0 AS repeats FROM part")
+def repeated_content(t):
+    text = F.when(C("p_partkey") % 3 == 0, F.repeat(F.concat("p_name", F.lit(" ")), 12)).when(C("p_partkey") % 3 == 1, F.concat("p_name", F.lit("-"), "p_type", F.lit("!")))
+    return t("part").select("p_partkey", strings.repeats_itself(text).alias("repeats"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -301,3 +302,27 @@ def positions(s: Column, sub: str) -> Column:
     ends = F.transform(F.split(s, re.escape(sub)), lambda x: F.length(x))
     starts = F.transform(ends, lambda x, i: F.aggregate(F.slice(ends, F.lit(1), i + 1), F.lit(0), lambda a, y: a + y) + i * len(sub) + 1)
     return F.slice(starts, F.lit(1), F.greatest(F.size(starts) - 1, F.lit(0)))
+
+
+# Piece lengths that are tried for each thousand characters begun, by how many thousands there are; the most; the share of pieces that must follow an equal one.
+PIECES_TRIED, MOST_TRIED, REPEATED_SHARE = {3: 100, 6: 200, 9: 300}, 3000, 0.4
+
+
+def repeats_itself(s: Column) -> Column:
+    """Whether for some length the text, cut into pieces of it, has a run of equal neighbours over 40 % of the pieces long; null and empty texts don't."""
+
+    def repeats(text: str) -> bool:
+        units = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        thousands = -(-len(units) // 1000)
+        tried = next((n * thousands for below, n in PIECES_TRIED.items() if thousands < below), MOST_TRIED)
+        for size in range(1, min(tried, len(units))):
+            whole = units[: len(units) // size * size].reshape(-1, size)
+            same = np.concatenate(([False], (whole[1:] == whole[:-1]).all(1), [False]))
+            if np.diff(np.flatnonzero(~same)).max() - 1 > REPEATED_SHARE * -(-len(units) // size):
+                return True
+        return False
+
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([bool(t) and repeats(t) for t in texts.to_pylist()], pa.bool_())
+
+    return F.arrow_udf(run, "boolean")(s)

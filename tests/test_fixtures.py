@@ -226,3 +226,9 @@ def test_kept_view_over_batches(spark, tmp_path):
     spark.createDataFrame([(1, 9, "PUT", "back")], "k long, seq long, op string, v string").write.mode("append").parquet(str(source))
     events.keep_view(stream, view, "k", "seq", check).awaitTermination()
     assert got() == {1: "back", 2: "d", 3: "c"}
+
+
+def test_repeats_itself(spark):
+    texts = ["ab" * 50, "abcdefghij" * 3, "the quick brown fox jumps", "aaaaabcdefgh", "aaaabcdefghi", "x" * 1500 + "".join(chr(200 + i) for i in range(1500)), "", None]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in texts], "s string").select(strings.repeats_itself(F.col("s"))).collect()]
+    assert got == [True, True, False, False, False, True, False, False]
