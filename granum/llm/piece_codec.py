@@ -26,8 +26,10 @@ from granum.llm.common import ship
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
 #: Segments that a worker keeps, of up to BATCHED bytes each; longer ones are computed whenever they occur.
-MOST_SEGMENTS = 400_000
+MOST_SEGMENTS = 200_000
 BATCHED = 64
+#: Texts that a worker has in hand at once.
+ROWS = 200
 #: The offset in Zipf and Mandelbrot's law, 1 / (rank + offset), as commonly given for words of prose.
 OFFSET = 2.7
 #: Letters, and numerals other than decimal digits, as a class of Python's re.
@@ -166,8 +168,7 @@ class Codec(dict):
         stops = re.escape("".join(c for c in ".,;:!?#*%&|$'-()\"" if c not in after_letters))
         body = f"{MARK}*[^{MARK}{newline}]+|{MARK}+" + ("|\n" if newline else "")
         self.cut = re.compile((f"{MARK}*{LETTER}+(?=[{stops}])|" if stops else "") + body)
-        self.plain = [t.replace(MARK, " ").encode() if k == "normal" else bytes([int(t[3:5], 16)]) if k == "byte" else b" \xe2\x81\x87 " if k == "unknown" else b"" for t, k in zip(p.text, p.kind)]
-        self.plain_bytes = pa.array(self.plain, pa.binary())
+        self.decoder = Decoder(p)
         self.lengths = np.array([len(t.encode()) for t in p.text], np.int32)
         self.is_byte = np.array([k == "byte" for k in p.kind])
 
@@ -275,7 +276,15 @@ class Codec(dict):
         return [b"".join(map(self.__getitem__, x)) for x in cut]
 
     def decode(self, ids: list[int]) -> str:
-        return self.decode_many(pa.array([ids], pa.list_(pa.int32())))[0]
+        return self.decoder.decode_many(pa.array([ids], pa.list_(pa.int32())))[0]
+
+
+class Decoder:
+    """Texts of ids; it needs no trie."""
+
+    def __init__(self, p: Pieces):
+        plain = [t.replace(MARK, " ").encode() if k == "normal" else bytes([int(t[3:5], 16)]) if k == "byte" else b" \xe2\x81\x87 " if k == "unknown" else b"" for t, k in zip(p.text, p.kind)]
+        self.plain_bytes = pa.array(plain, pa.binary())
 
     def decode_many(self, ids: pa.ListArray) -> list[str]:
         """Per list of ids its text; "" for null."""
@@ -312,8 +321,8 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         codec = None
         for batch in batches:
             codec = codec or worker_codec(shared)
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
                 coded = codec.encode_many(part.column(1).to_pylist())
                 ends = np.cumsum([0] + [len(c) // 4 for c in coded])
                 flat = np.frombuffer(b"".join(coded), np.int32)
@@ -336,12 +345,12 @@ def decode(coded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
     at = coded.columns.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = None
+        decoder = None
         for batch in batches:
-            codec = codec or worker_codec(shared)
-            for start in range(0, batch.num_rows, 500):
-                part = batch.slice(start, 500)
-                texts = codec.decode_many(part.column(at))
+            decoder = decoder or Decoder(shared.value)
+            for start in range(0, batch.num_rows, ROWS):
+                part = batch.slice(start, ROWS)
+                texts = decoder.decode_many(part.column(at))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*part.schema.names, "decoded"])
 
     schema = ", ".join(f"`{n}` {t}" for n, t in [*coded.dtypes, ("decoded", "string")])
