@@ -28,7 +28,7 @@ from granum.llm.components import components
 BANDS, ROWS = 48, 6
 HASHES = BANDS * ROWS
 BLOCK = 1024
-BLOCK_SHINGLES = 1_000_000
+BLOCK_SHINGLES = 500_000
 BROADCAST_ROWS = 1_000_000
 _rng = np.random.default_rng(20_240_601)
 _A = _rng.integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -92,8 +92,8 @@ def least_estimate(threshold: float) -> float:
 def _features(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            for at in range(0, batch.num_rows, 250):
+                part = batch.slice(at, 250)
                 n, keys, sigs, bands = [], [], [], []
                 for t in part.column(1).to_pylist():
                     s = shingles(t, width)
