@@ -232,3 +232,20 @@ def test_repeats_itself(spark):
     texts = ["ab" * 50, "abcdefghij" * 3, "the quick brown fox jumps", "aaaaabcdefgh", "aaaabcdefghi", "x" * 1500 + "".join(chr(200 + i) for i in range(1500)), "", None]
     got = [r[0] for r in spark.createDataFrame([(x,) for x in texts], "s string").select(strings.repeats_itself(F.col("s"))).collect()]
     assert got == [True, True, False, False, False, True, False, False]
+
+
+def test_differences_to_the_microsecond(spark):
+    """0.6 s short of an hour is no hour; a second counts as the nearest one, as DuckDB's TIMESTAMP_S does."""
+    t = lambda x: F.lit(x).cast("timestamp")
+    now, old = t("2024-06-01 00:00:00"), t("2024-05-31 23:00:00.6")
+    row = spark.range(1).select(dates.difference_in("hour", now, old), dates.difference_in("hour", old, now), dates.readable_age(now, old), *[dates.nearest_second(t(f"2024-01-01 00:00:0{x}")).cast("string") for x in ("0.499999", "0.5", "9.6")]).first()
+    assert tuple(row) == (0, 0, "59 minutes", "2024-01-01 00:00:00", "2024-01-01 00:00:01", "2024-01-01 00:00:10")
+
+
+def test_date_tests_round_seconds(spark, tmp_path):
+    from granum.queries import QUERIES
+
+    rows = [(1, dt.datetime(2024, 1, 1, 20, 0, 0, 700_000)), (2, dt.datetime(2024, 1, 1, 20, 0, 0, 300_000)), (3, dt.datetime(2024, 1, 1, 0, 0, 0, 500_000))]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz").write.parquet(str(tmp_path / "events.parquet"))
+    got = [(r.event_id, r.hours, r.age) for r in QUERIES["date_tests"](spark, str(tmp_path)).orderBy("event_id").collect()]
+    assert got == [(1, 3627, "151 days"), (2, 3628, "151 days"), (3, 3647, "151 days")]
