@@ -249,3 +249,12 @@ def test_date_tests_round_seconds(spark, tmp_path):
     spark.createDataFrame(rows, "event_id long, ts timestamp_ntz").write.parquet(str(tmp_path / "events.parquet"))
     got = [(r.event_id, r.hours, r.age) for r in QUERIES["date_tests"](spark, str(tmp_path)).orderBy("event_id").collect()]
     assert got == [(1, 3627, "151 days"), (2, 3628, "151 days"), (3, 3647, "151 days")]
+
+
+def test_expired_a_second_ago(spark):
+    """A value that ended one second before now is gone; its -1 isn't that of a value without end."""
+    puts = spark.createDataFrame([("a", 659, 1.0, 40), ("b", 661, 2.0, 40), ("c", 1, 3.0, -1), ("d", 660, 4.0, 40)], "k string, at long, v double, ttl int")
+    live = changelog.live_values(puts, "k", "at", "v", "ttl", 700)
+    assert sorted(map(tuple, live.collect())) == [("b", 2.0, 1), ("c", 3.0, -1)]
+    got = changelog.read_values(live, puts.select("k"), "k", "v").collect()
+    assert sorted(map(tuple, got)) == [("a", None, -2), ("b", 2.0, 1), ("c", 3.0, -1), ("d", None, -2)]
