@@ -11,7 +11,7 @@ from granum.functions.predicates import EMBEDDED, WIRE, All, Criterion, conditio
 from granum.operators import changelog, enrich, metrics, mutate, ordered
 from granum.plans.query import Query, list_ids
 from granum.registry import ORACLE_SQL, QUERIES, query  # noqa: F401
-from granum.sources.tables import content_keys, keys_with_value, overlay_value
+from granum.sources.tables import content_keys, keys_with_value, overlay_value, placed
 
 
 def _with_nulls(t) -> DataFrame:
@@ -272,7 +272,7 @@ def hourly_rate(t):
 def trailing_day(t):
     from pyspark.sql import Window
 
-    ms = F.unix_millis(F.col("ts").cast("timestamp"))
+    ms = dates.nearest_millis(F.col("ts").cast("timestamp"))  # as the SQL's epoch_ms rounds it
     return t("events").select("event_id", F.count("*").over(Window.partitionBy("user_id").orderBy(ms).rangeBetween(-86_400_000, 0)).alias("n"))
 
 
@@ -315,8 +315,9 @@ def replay_log(t):
 @query("""WITH p AS (SELECT user_id, epoch_ms(ts) // 1000 AS put_at, value, CASE WHEN event_id % 3 = 0 THEN -1 ELSE 86400 * (event_id % 20) END AS ttl, row_number() OVER (PARTITION BY user_id ORDER BY epoch_ms(ts) // 1000 DESC) AS k FROM events)
   SELECT user_id, value, CASE WHEN ttl < 0 THEN -1 ELSE put_at + ttl - 1706745600 END::BIGINT AS seconds_left FROM p WHERE k = 1 AND (ttl < 0 OR put_at + ttl > 1706745600)""")
 def live_keys(t):
-    puts = t("events").select("user_id", F.unix_timestamp("ts").alias("at"), "value", F.expr("CASE WHEN event_id % 3 = 0 THEN -1 ELSE 86400 * (event_id % 20) END").alias("ttl"))
-    return changelog.live_values(puts, "user_id", "at", "value", "ttl", 1_706_745_600)
+    at = F.floor(dates.nearest_millis(F.col("ts").cast("timestamp")) / 1000)  # as the SQL's epoch_ms rounds it
+    puts = placed(t("events")).select("user_id", at.alias("at"), "value", F.expr("CASE WHEN event_id % 3 = 0 THEN -1 ELSE 86400 * (event_id % 20) END").alias("ttl"), "place")
+    return changelog.live_values(puts, "user_id", "at", "value", "ttl", 1_706_745_600, tie="place")
 
 
 @query("SELECT user_id, event_id AS owner FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id DESC) AS k FROM events) WHERE k = 1")
