@@ -269,3 +269,29 @@ def test_live_keys_round_millis(spark, tmp_path):
     spark.createDataFrame(rows, "user_id long, event_id long, ts timestamp_ntz, value double").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
     got = sorted(map(tuple, QUERIES["live_keys"](spark, str(tmp_path)).collect()))
     assert got == [(1, 1.0, 6 * 86400 + 9), (2, 2.0, 6 * 86400 + 8), (3, 3.0, -1)]
+
+
+def test_list_folders(spark, tmp_path):
+    """A table written as a folder is one entry beside those that are files."""
+    (tmp_path / "c.txt").write_text("c")
+    for n in ("b.txt", "_b.txt", "d.csv"):
+        (tmp_path / n).mkdir()
+        for part in ("1", "22", "_333"):
+            (tmp_path / n / f"{part}.bin").write_text(part)
+    (tmp_path / "a.txt").write_text("aaaa")
+    got = [(r.path.rsplit("/", 1)[1], r.length) for r in list_files(spark, f"{tmp_path}/", glob="*.txt").collect()]
+    assert got == [("a.txt", 4), ("b.txt", 3), ("c.txt", 1)]
+    assert [r.path.rsplit("/", 1)[1] for r in list_files(spark, str(tmp_path), 2, 2).collect()] == ["c.txt", "d.csv"]
+    assert [r.path.rsplit("/", 1)[1] for r in list_files(spark, str(tmp_path), glob="{a,c}.t[x]?").collect()] == ["a.txt", "c.txt"]
+    assert list_files(spark, str(tmp_path), glob="*.none").count() == 0
+
+
+def test_lookup_of_tied_lines(spark, tmp_path):
+    """Of lines that share their number the first in the table counts, wherever the plan puts them."""
+    from granum.queries import QUERIES
+
+    spark.range(2000).selectExpr("id as o_orderkey", "'F' as o_orderstatus").write.parquet(str(tmp_path / "orders.parquet"))
+    lines = spark.range(0, 40000, numPartitions=4).selectExpr("id % 2000 as l_orderkey", "'F' as l_linestatus", "'N' as l_returnflag", "1 as l_linenumber", "40000 - id as l_partkey", "id * 1.0D as l_quantity")
+    lines.write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = QUERIES["lookup_two_keys"](spark, str(tmp_path)).collect()
+    assert sorted((r.o_orderkey, r.part, r.qty) for r in got) == [(k, 40000 - k, float(k)) for k in range(2000)]
