@@ -33,7 +33,7 @@ def lookup_all_many_keys(left: DataFrame, lookups: list[tuple[DataFrame, list[tu
 
 
 def lookup_many_keys(left: DataFrame, target: DataFrame, on: list[tuple[str, str]], take: dict[str, str], order: list[str], fixed: dict[str, object] | None = None) -> DataFrame:
-    """As lookup with several keys and fixed values on the target; of several rows the first by `order` wins. A null key finds nothing."""
+    """As lookup with several keys and fixed values on the target; of several rows the first by `order` wins, of equal ones any. A null key finds nothing."""
     for c, v in (fixed or {}).items():
         target = target.where(F.col(c) == F.lit(v))
     keys = [b for _, b in on]

@@ -125,7 +125,8 @@ def lookup_partial(t):
 @query("""SELECT o_orderkey, l_partkey AS part, l_quantity AS qty FROM orders LEFT JOIN
   (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linestatus ORDER BY l_linenumber) AS k FROM lineitem WHERE l_returnflag = 'N') WHERE k = 1) ON l_orderkey = o_orderkey AND l_linestatus = o_orderstatus""")
 def lookup_two_keys(t):
-    return enrich.lookup_many_keys(t("orders"), t("lineitem"), [("o_orderkey", "l_orderkey"), ("o_orderstatus", "l_linestatus")], {"l_partkey": "part", "l_quantity": "qty"}, ["l_linenumber"], {"l_returnflag": "N"}).select("o_orderkey", "part", "qty")
+    """Lines of an order can share their number: of those the first in the table counts."""
+    return enrich.lookup_many_keys(t("orders"), placed(t("lineitem")), [("o_orderkey", "l_orderkey"), ("o_orderstatus", "l_linestatus")], {"l_partkey": "part", "l_quantity": "qty"}, ["l_linenumber", "place"], {"l_returnflag": "N"}).select("o_orderkey", "part", "qty")
 
 
 @query("SELECT n_nationkey, r_regionkey AS rk, r_name AS rn FROM nation LEFT JOIN region ON n_regionkey = r_regionkey")
