@@ -300,3 +300,13 @@ def test_lookup_of_tied_lines(spark, tmp_path):
         pq.write_table(pa.table(lines), tmp_path / "lineitem.parquet" / f"{file}.parquet")
     got = QUERIES["lookup_two_keys"](spark, str(tmp_path)).collect()
     assert sorted((r.o_orderkey, r.part, r.qty) for r in got) == [(k, 1, float(k)) for k in range(10)]
+
+
+def test_no_sketch_for_each_order(spark):
+    """The approximate count is no part of an aggregation by order, which would hold a sketch for every one."""
+    from granum.queries import QUERIES
+
+    df = QUERIES["approximate_count"](spark, "/root/testdata/sf0.001")
+    lines = df._jdf.queryExecution().executedPlan().toString().splitlines()
+    assert any("keys=[l_orderkey" in x for x in lines) and not any("keys=[l_orderkey" in x and "approx_count_distinct" in x for x in lines)
+    assert df.first().near
