@@ -310,3 +310,19 @@ def test_no_sketch_for_each_order(spark):
     lines = df._jdf.queryExecution().executedPlan().toString().splitlines()
     assert any("keys=[l_orderkey" in x for x in lines) and not any("keys=[l_orderkey" in x and "approx_count_distinct" in x for x in lines)
     assert df.first().near
+
+
+def test_moves_broadcast_nothing(spark):
+    """No join of pair_moves collects a side in the driver, in any of its rounds."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = {store.executionsList().apply(i).executionId() for i in range(store.executionsList().size())}
+    d = spark.range(300).selectExpr("concat('/a/', id) as path", "100 * id as at", "1000003 * id as size", "id as mtime")
+    c = spark.range(250).selectExpr("concat('/b/', id) as path", "100 * id + 1 as at", "1000003 * id + id % 3 as size", "id as mtime")
+    kinds = [r.kind for r in changelog.pair_moves(d, c, 2).collect()]
+    assert (kinds.count("MOVE"), kinds.count("DELETE")) == (250, 50)
+    names = set()
+    for i in range(store.executionsList().size()):
+        if (n := store.executionsList().apply(i).executionId()) not in before:
+            nodes = store.planGraph(n).allNodes()
+            names |= {nodes.apply(k).name() for k in range(nodes.size())}
+    assert any("SortMergeJoin" in n for n in names) and not any("Broadcast" in n for n in names)
