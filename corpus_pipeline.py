@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from granum.llm.common import held, maybe_broadcast, read, saved, written
 from granum.llm.minhash_dedup import near_duplicates
-from granum.llm.piece_codec import decode, encode
+from granum.llm.piece_codec import encode
 from granum.llm.quality_rules import judge_quality
 from granum.llm.queries import tokenizer_file
 from granum.llm.site_quality import judge_sites
@@ -63,8 +63,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Per document its piece ids, how many they are, how many stand for bytes, and the CRC-32 of what they decode to. Null and empty texts have none."""
     path = tokenizer_file("piece_bpe_32k.model")
-    coded = decode(encode(docs, path), path)
-    return coded.select("doc_id", "ids", F.size("ids").cast("long").alias("n_pieces"), "n_byte_pieces", F.crc32("decoded").alias("decoded_crc32"))
+    return encode(docs, path, decoded="decoded").select("doc_id", "ids", F.size("ids").cast("long").alias("n_pieces"), "n_byte_pieces", F.crc32("decoded").alias("decoded_crc32"))
 
 
 STAGES = [("quality classifier", classify), ("quality rules", rules), ("MinHash near-dedup", dedup), ("mixing to target weights", mix), ("SentencePiece codec", pieces)]

@@ -307,12 +307,13 @@ def worker_codec(shared) -> Codec:
     return _codecs[key]
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: id, ids (array of int), n_byte_pieces (byte pieces among them).
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", decoded: str | None = None) -> DataFrame:
+    """Per document: id, ids (array of int), n_byte_pieces (byte pieces among them); under the name `decoded`, if given, what `decode` makes of the ids.
 
     `path` names the model's file, read by the driver and sent to the tasks. A null or empty text gives an empty
     array. Repeated rows give repeated results, a null id stays null, an empty table gives an empty result, columns
     beside id and text are ignored. A literal U+2581 is read as a blank. Each text is read once, without a shuffle.
+    Decoding here spares the Python workers that `decode` would need beside these.
     """
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(pieces(path))  # as large as the vocabulary, whatever the corpus
@@ -328,10 +329,13 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                 flat = np.frombuffer(b"".join(coded), np.int32)
                 byte_sums = np.concatenate(([0], np.cumsum(codec.is_byte[flat])))
                 ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([part.column(0), ids, pa.array(byte_sums[ends[1:]] - byte_sums[ends[:-1]], pa.int64())], names=[id_col, "ids", "n_byte_pieces"])
+                columns = {id_col: part.column(0), "ids": ids, "n_byte_pieces": pa.array(byte_sums[ends[1:]] - byte_sums[ends[:-1]], pa.int64())}
+                if decoded:
+                    columns[decoded] = pa.array(codec.decoder.decode_many(ids), pa.string())
+                yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     rows = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"{id_col} bigint, ids array<int>, n_byte_pieces bigint")
+    return rows.mapInArrow(run, f"{id_col} bigint, ids array<int>, n_byte_pieces bigint" + (f", {decoded} string" if decoded else ""))
 
 
 def decode(coded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from granum.llm import sql
 from granum.llm.common import read
 from granum.llm.minhash_dedup import near_duplicates
-from granum.llm.piece_codec import decode, encode
+from granum.llm.piece_codec import encode
 from granum.llm.pivot_dedup import near_vectors
 from granum.llm.quality_rules import judge_quality
 from granum.llm.shuffle_shards import shard_rows
@@ -68,8 +68,8 @@ def op9_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_file("piece_bpe_32k.model")
-    coded = encode(read(spark, sf_dir, "documents"), path)
-    return decode(coded, path).select("doc_id", "ids", F.size("ids").cast("long").alias("n_pieces"), "n_byte_pieces", F.length("decoded").cast("long").alias("decoded_chars"), F.crc32("decoded").alias("decoded_crc32"))
+    coded = encode(read(spark, sf_dir, "documents"), path, decoded="decoded")
+    return coded.select("doc_id", "ids", F.size("ids").cast("long").alias("n_pieces"), "n_byte_pieces", F.length("decoded").cast("long").alias("decoded_chars"), F.crc32("decoded").alias("decoded_crc32"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -407,3 +407,14 @@ def test_codec_scores_are_log_probabilities(spark):
         one, many = codec.viterbi(piece_codec.MARK + t.replace(" ", piece_codec.MARK)), codec.encode_many([t, t])
         assert [np.frombuffer(m, np.int32).tolist() for m in many] == [one, one]
     assert all(len(k.encode()) <= piece_codec.BATCHED for k in codec)  # long segments aren't kept
+
+
+def test_decoding_beside_encoding(spark, hard):
+    """In one pass the ids decode as they do in a second one; the pipeline and op10 need one Python worker a task for both."""
+    path = queries.tokenizer_file("piece_bpe_32k.model")
+    rows = lambda df: Counter((r.doc_id, tuple(r.ids), r.n_byte_pieces, r.decoded) for r in df.collect())
+    once = piece_codec.encode(hard, path, decoded="decoded")
+    assert rows(once) == rows(piece_codec.decode(piece_codec.encode(hard, path), path))
+    assert once._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    plan = queries.QUERIES["op10_piece_codec"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
