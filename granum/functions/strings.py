@@ -312,13 +312,19 @@ def repeats_itself(s: Column) -> Column:
     """Whether for some length the text, cut into pieces of it, has a run of equal neighbours over 40 % of the pieces long; null and empty texts don't."""
 
     def repeats(text: str) -> bool:
-        units = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-        thousands = -(-len(units) // 1000)
+        n, units = len(text), None
+        thousands = -(-n // 1000)
         tried = next((n * thousands for below, n in PIECES_TRIED.items() if thousands < below), MOST_TRIED)
-        for size in range(1, min(tried, len(units))):
-            whole = units[: len(units) // size * size].reshape(-1, size)
+        for size in range(1, min(tried, n // 2 + 1)):
+            most = REPEATED_SHARE * -(-n // size)
+            # A run that is long enough holds every so-manieth neighbour at least once: others needn't be looked at.
+            step = (int(most) + 1) * size
+            if not any(text[at : at + size] == text[at + size : at + 2 * size] for at in range(step - size, n - 2 * size + 1, step)):
+                continue
+            units = np.frombuffer(text.encode("utf-32-le"), np.uint32) if units is None else units
+            whole = units[: n // size * size].reshape(-1, size)
             same = np.concatenate(([False], (whole[1:] == whole[:-1]).all(1), [False]))
-            if np.diff(np.flatnonzero(~same)).max() - 1 > REPEATED_SHARE * -(-len(units) // size):
+            if np.diff(np.flatnonzero(~same)).max() - 1 > most:
                 return True
         return False
 

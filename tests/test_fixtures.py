@@ -326,3 +326,34 @@ def test_moves_broadcast_nothing(spark):
             nodes = store.planGraph(n).allNodes()
             names |= {nodes.apply(k).name() for k in range(nodes.size())}
     assert any("SortMergeJoin" in n for n in names) and not any("Broadcast" in n for n in names)
+
+
+def test_repeats_as_by_all_neighbours(spark):
+    """Against a look at every pair of neighbours, on short and long texts with runs of any place; a text without runs takes little time."""
+    import random
+    import time
+
+    def plain(text):
+        thousands = -(-len(text) // 1000)
+        tried = next((n * thousands for below, n in strings.PIECES_TRIED.items() if thousands < below), strings.MOST_TRIED)
+        for size in range(1, min(tried, len(text))):
+            pieces, run, longest = [text[i : i + size] for i in range(0, len(text) // size * size, size)], 0, 0
+            for x, y in zip(pieces, pieces[1:]):
+                run = run + 1 if x == y else 0
+                longest = max(longest, run)
+            if longest > strings.REPEATED_SHARE * -(-len(text) // size):
+                return True
+        return False
+
+    rnd = random.Random(5)
+    letters = lambda n: "".join(rnd.choice("ab\U0001f469") for _ in range(n))
+    texts = [letters(rnd.randint(0, 12)) + letters(rnd.randint(1, 9)) * rnd.randint(0, 9) + letters(rnd.randint(0, 25)) for _ in range(2000)]
+    texts += [letters(rnd.randint(0, 900)) + letters(rnd.randint(1, 300)) * rnd.randint(1, 9) + letters(rnd.randint(0, 900)) for _ in range(30)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, s string")
+    got = dict(map(tuple, df.select("i", strings.repeats_itself(F.col("s"))).collect()))
+    want = {i: plain(t) for i, t in enumerate(texts)}
+    assert got == want and 0 < sum(want.values()) < len(want)
+    many = spark.range(0, 20_000, numPartitions=1).select(F.concat(F.lit("the quick brown fox jumps over a lazy dog and sees "), F.sha2(F.col("id").cast("string"), 512)).alias("s"))
+    began = time.time()
+    assert many.where(strings.repeats_itself(F.col("s"))).count() == 0
+    assert time.time() - began < 6
