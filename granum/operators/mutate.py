@@ -72,9 +72,20 @@ def merge_counts(table: DataFrame, changes: DataFrame, key: str) -> DataFrame:
     return changes.join(known, key, "left").agg(F.count("_known").alias("updated"), F.count_if(F.col("_known").isNull()).alias("inserted"))
 
 
+#: Rows of a table or of ids that one task gets, about, when remove_with_relations deals them by key.
+ROWS_DEALT = 1_000_000
+
+
 def remove_with_relations(table: DataFrame, links: DataFrame, ids: DataFrame, key: str, link_key: str) -> tuple[DataFrame, DataFrame]:
-    """The table and its link table without these ids."""
-    return delete_ids(table, ids, key), links.join(ids.select(F.col(key).alias(link_key)), link_key, "left_anti")
+    """The table and its link table without these ids. Partitions grow in number with the rows, so that no task's sorts and counts grow."""
+    known, least = ids.count(), int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def without(df: DataFrame, name: str) -> DataFrame:
+        n = max(-(-max(df.count(), known) // ROWS_DEALT), least)
+        gone = ids.select(F.col(key).alias(name)).repartition(n, name)
+        return df.repartition(n, name).join(gone.hint("merge"), name, "left_anti")
+
+    return without(table, key), without(links, link_key)
 
 
 def violations(table: DataFrame, rules: dict[str, dict[str, Any]]) -> Column:

@@ -357,3 +357,12 @@ def test_repeats_as_by_all_neighbours(spark):
     began = time.time()
     assert many.where(strings.repeats_itself(F.col("s"))).count() == 0
     assert time.time() - began < 6
+
+
+def test_removal_deals_rows(spark, monkeypatch):
+    """Partitions grow with the rows, and nothing else changes."""
+    monkeypatch.setattr(mutate, "ROWS_DEALT", 100)
+    table, links = spark.range(1000).withColumnRenamed("id", "k"), spark.range(3000).selectExpr("id % 1000 as l")
+    left, linked = mutate.remove_with_relations(table, links, table.where("k % 2 = 0"), "k", "l")
+    assert (left.rdd.getNumPartitions(), linked.rdd.getNumPartitions()) == (10, 30)
+    assert left.where("k % 2 = 1").count() == left.count() == 500 and linked.where("l % 2 = 1").count() == linked.count() == 1500
