@@ -366,3 +366,61 @@ def test_removal_deals_rows(spark, monkeypatch):
     left, linked = mutate.remove_with_relations(table, links, table.where("k % 2 = 0"), "k", "l")
     assert (left.rdd.getNumPartitions(), linked.rdd.getNumPartitions()) == (10, 30)
     assert left.where("k % 2 = 1").count() == left.count() == 500 and linked.where("l % 2 = 1").count() == linked.count() == 1500
+
+
+def moves_by_rounds(deletes, creates, seconds, most):
+    """The rounds of pair_moves one by one on groups (at, size, mtime, number): how many of each pair of groups."""
+    d, c, got = {x[:3]: x[3] for x in deletes}, {x[:3]: x[3] for x in creates}, {}
+    score = lambda x, y: abs(x[1] - y[1]) + 1000 * abs(x[2] - y[2])
+    while True:
+        asked = {}
+        for x in d:
+            options = [(score(x, y), y) for y in c if c[y] and 0 <= y[0] - x[0] <= seconds and score(x, y) <= most] if d[x] else []
+            if options:
+                s, y = min(options)
+                asked.setdefault(y, []).append((s, x))
+        if not asked:
+            return got
+        for y, by in asked.items():
+            for _, x in sorted(by):
+                n = min(d[x], c[y])
+                d[x], c[y], got[x, y] = d[x] - n, c[y] - n, got.get((x, y), 0) + n
+        got = {k: n for k, n in got.items() if n}
+
+
+def test_moves_until_no_pair_is_left(spark, monkeypatch):
+    """All deletes ask for one create, sixty times over: as many rounds, and as many moves. Copies that got another mtime all move."""
+    schema = "path string, at long, size long, mtime long"
+    d = spark.createDataFrame([(f"/a/{i}", 100, i, 1) for i in range(60)] + [(None, 100, 5, 1), ("/a/none", 100, None, 1)], schema)
+    c = spark.createDataFrame([(f"/b/{i}", 101, 100 + i, 1) for i in range(60)], schema)
+    want = {f"/a/{59 - i}": f"/b/{i}" for i in range(54)}
+    for candidates in (changelog.CANDIDATES, 300):
+        monkeypatch.setattr(changelog, "CANDIDATES", candidates)
+        got = changelog.pair_moves(d, c, 2).collect()
+        assert len(got) == 62 and len({r.to_path for r in got if r.to_path}) == 60
+        assert {r.from_path: r.to_path for r in got if r.from_path in want} == want
+    d = spark.range(3000).selectExpr("concat('/a/', id) as path", "100L as at", "7L as size", "1L as mtime")
+    c = spark.range(3000).selectExpr("concat('/b/', id) as path", "101L as at", "7L as size", "2L as mtime")
+    for candidates in (1000, 1):
+        monkeypatch.setattr(changelog, "CANDIDATES", candidates)
+        got = changelog.pair_moves(d, c, 2).collect()
+        assert len({r.to_path for r in got}) == 3000 and {r.score for r in got} == {1000}
+
+
+def test_moves_as_by_rounds(spark, monkeypatch):
+    """Every round as a job, some in one task, and all in one task give the pairs of rounds one by one."""
+    import random
+    from collections import Counter
+
+    rnd = random.Random(3)
+    groups = lambda top: [(*k, n) for k, n in Counter((100 + rnd.randint(0, 4), 20 * rnd.randint(0, 30) + top, rnd.randint(1, 2)) for _ in range(60)).items()]
+    deletes, creates = groups(0), groups(7)  # no size is equal, so that all is left to the rounds
+    rows = lambda side, groups: spark.createDataFrame([(f"/{side}/{i}-{k}", at, size, m) for i, (at, size, m, n) in enumerate(groups) for k in range(n)], "path string, at long, size long, mtime long")
+    of = lambda groups, path: groups[int(path.split("/")[2].split("-")[0])][:3]
+    want = moves_by_rounds(deletes, creates, 2, 1200)
+    for candidates in (1, 200, 10_000):
+        monkeypatch.setattr(changelog, "CANDIDATES", candidates)
+        got = changelog.pair_moves(rows("a", deletes), rows("b", creates), 2, 1200).collect()
+        pairs = [(r.from_path, r.to_path) for r in got if r.to_path]
+        assert len(got) == len({x for x, _ in pairs}) + sum(r.kind == "DELETE" for r in got) == 60 and len({y for _, y in pairs}) == len(pairs)
+        assert Counter((of(deletes, x), of(creates, y)) for x, y in pairs) == want
