@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -304,28 +305,67 @@ def positions(s: Column, sub: str) -> Column:
     return F.slice(starts, F.lit(1), F.greatest(F.size(starts) - 1, F.lit(0)))
 
 
-# Piece lengths that are tried for each thousand characters begun, by how many thousands there are; the most; the share of pieces that must follow an equal one.
-PIECES_TRIED, MOST_TRIED, REPEATED_SHARE = {3: 100, 6: 200, 9: 300}, 3000, 0.4
+# No piece length is left out: the first two bound none, and stay for those who read them. The last is the share of pieces that must follow an equal one.
+PIECES_TRIED, MOST_TRIED, REPEATED_SHARE = {}, float("inf"), 0.4
+#: Piece lengths of a text that are looked at one by one before all of them are measured at once.
+LOOKED_AT = 8
+
+
+def _common(text: str) -> np.ndarray:
+    """For each place how many characters from there on are as from the text's start on (the Z function), in linear time."""
+    n, out, left, right = len(text), array("q", bytes(8 * len(text))), 0, 0
+    for i in range(1, n):
+        k = min(right - i, out[i - left]) if i < right else 0
+        while i + k < n and text[k] == text[i + k]:
+            k += 1
+        out[i] = k
+        if i + k > right:
+            left, right = i, i + k
+    return np.frombuffer(out, np.int64)
+
+
+def _repeats_at(size: int, units: np.ndarray) -> bool:
+    """Whether pieces of one length have a run of equal neighbours that is long enough."""
+    whole = units[: len(units) // size * size].reshape(-1, size)
+    same = np.concatenate(([False], (whole[1:] == whole[:-1]).all(1), [False]))
+    return bool(np.diff(np.flatnonzero(~same)).max() - 1 > REPEATED_SHARE * -(-len(units) // size))
+
+
+def _repeats_at_any(text: str) -> bool:
+    """Whether pieces of any length have one.
+
+    Such a run is a stretch, longer than 40 % of the text, that is as the text one piece on. So it holds one of a few fixed
+    places, and what is common behind and before that place gives the stretch's ends for all lengths at once.
+    """
+    n = len(text)
+    for at in range(0, n, max(1, int(REPEATED_SHARE * n))):
+        sizes = np.arange(1, min(n // 2, n - at - 1) + 1)
+        behind = _common(text[at:])[sizes]
+        before = np.minimum(_common(text[:at][::-1] + text[::-1])[n - sizes], at) if at else 0
+        if ((at + behind) // sizes + (before - at) // sizes > REPEATED_SHARE * -(-n // sizes)).any():
+            return True
+    return False
 
 
 def repeats_itself(s: Column) -> Column:
-    """Whether for some length the text, cut into pieces of it, has a run of equal neighbours over 40 % of the pieces long; null and empty texts don't."""
+    """Whether for any length the text, cut into pieces of it, has a run of equal neighbours over 40 % of the pieces long; null and empty texts don't.
+
+    A run that is long enough holds a whole fifth of the text, which is there again one piece on: lengths at which none is needn't be looked at.
+    """
 
     def repeats(text: str) -> bool:
-        n, units = len(text), None
-        thousands = -(-n // 1000)
-        tried = next((n * thousands for below, n in PIECES_TRIED.items() if thousands < below), MOST_TRIED)
-        for size in range(1, min(tried, n // 2 + 1)):
-            most = REPEATED_SHARE * -(-n // size)
-            # A run that is long enough holds every so-manieth neighbour at least once: others needn't be looked at.
-            step = (int(most) + 1) * size
-            if not any(text[at : at + size] == text[at + size : at + 2 * size] for at in range(step - size, n - 2 * size + 1, step)):
-                continue
-            units = np.frombuffer(text.encode("utf-32-le"), np.uint32) if units is None else units
-            whole = units[: n // size * size].reshape(-1, size)
-            same = np.concatenate(([False], (whole[1:] == whole[:-1]).all(1), [False]))
-            if np.diff(np.flatnonzero(~same)).max() - 1 > most:
-                return True
+        n, units, looked = len(text), None, set()
+        fifth = max(1, int(REPEATED_SHARE * n / 2))
+        for start in range(0, n - fifth, fifth):
+            part, at = text[start : start + fifth], start
+            while (at := text.find(part, at + 1, start + n // 2 + fifth)) != -1:
+                if (size := at - start) not in looked:
+                    if len(looked) == LOOKED_AT:
+                        return _repeats_at_any(text)
+                    units = np.frombuffer(text.encode("utf-32-le"), np.uint32) if units is None else units
+                    if _repeats_at(size, units):
+                        return True
+                    looked.add(size)
         return False
 
     def run(texts: pa.Array) -> pa.Array:

@@ -424,3 +424,31 @@ def test_moves_as_by_rounds(spark, monkeypatch):
         pairs = [(r.from_path, r.to_path) for r in got if r.to_path]
         assert len(got) == len({x for x, _ in pairs}) + sum(r.kind == "DELETE" for r in got) == 60 and len({y for _, y in pairs}) == len(pairs)
         assert Counter((of(deletes, x), of(creates, y)) for x, y in pairs) == want
+
+
+def test_repeats_at_every_length(spark, monkeypatch):
+    """Pieces longer than a hundred, two hundred or three thousand characters count too; all lengths at once give what each alone gives."""
+    import random
+    import time
+
+    rnd = random.Random(9)
+    letters = lambda n: "".join(rnd.choice("abcde") for _ in range(n))
+    long, long_a = letters(300_000), "a" * 117_000
+    texts = [letters(n) * k for n, k in ((101, 2), (700, 2), (1500, 3), (5000, 2), (100_000, 3))] + [letters(400) + letters(400) * 2, long, long_a + long[117_000:]]
+    texts.append((x := letters(250)) * 6 + letters(800) + x)  # five equal neighbours of eleven pieces
+    began = time.time()
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in texts], "s string").coalesce(1).select(strings.repeats_itself(F.col("s"))).collect()]
+    assert got == [True] * 5 + [False] * 3 + [True] and time.time() - began < 30
+
+    def plain(text):
+        return any(run > strings.REPEATED_SHARE * -(-len(text) // size) for size in range(1, len(text)) for run in runs(text, size))
+
+    def runs(text, size):
+        n = 0
+        for i in range(size, len(text) // size * size, size):
+            n = n + 1 if text[i : i + size] == text[i - size : i] else 0
+            yield n
+
+    short = ["ab"[rnd.randint(0, 1)] * rnd.randint(1, 6) + letters(rnd.randint(0, 5)) * rnd.randint(1, 5) + letters(rnd.randint(0, 9)) for _ in range(2000)]
+    want = [plain(x) for x in short]
+    assert [strings._repeats_at_any(x) for x in short] == want and 0 < sum(want) < 2000
